@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def arrow_texts(col: pa.Array) -> pa.Array:
     """A string or binary column as plain 64-bit-offset binary, null as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return pa.compute.fill_null(col.cast(pa.large_binary()), b"")
+    return pc.fill_null(col.cast(pa.large_binary()), b"")
 
 
 def text_steps(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from catalith.llm.kd_search import OP6_SQL, op6_kd_search
 from catalith.llm.suffix_dedup import op1_suffix_dedup
+from catalith.llm.token_counts import op4_token_counts
 
-QUERIES: dict = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLES: dict = {}
+QUERIES: dict = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op6_kd_search": op6_kd_search,
+}
+ORACLES: dict = {"op6_kd_search": OP6_SQL}
