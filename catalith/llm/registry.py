@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from catalith.llm.kd_search import OP6_SQL, op6_kd_search
+from catalith.llm.mixing import op7_mixing
+from catalith.llm.sharding import op10_sharding
 from catalith.llm.suffix_dedup import op1_suffix_dedup
 from catalith.llm.token_counts import op4_token_counts
 
@@ -10,5 +12,7 @@ QUERIES: dict = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_kd_search": op6_kd_search,
+    "op7_mixing": op7_mixing,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict = {"op6_kd_search": OP6_SQL}
