@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import NULL_ID, Rolling, doc_key, partitions, text_steps, window_min
+from catalith.llm.common import NULL_ID, Rolling, checkpointed, doc_key, partitions, text_steps, window_min
 
 LENGTH = 200
-K = 48
+K = 24
 #: Suffixes sorted at once.
 BATCH = 1 << 15
 #: A hash with more distinct segments than this is spread over tasks by the passages' own hashes.
@@ -188,34 +188,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, spread: in
 
     docs: did, th, text (see doc_key); documents without repeats don't appear.
     """
-    runs = docs.mapInArrow(_runs(length, k), "did long, th long, start int, n int, key long, seg long, own boolean")
-    keys = (
-        runs.groupBy("key")
-        .agg(F.count("*").alias("c"), F.max("own").alias("own"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
-        .where((F.col("c") > 1) | F.col("own"))
-        .select("key", ((F.col("lo") != F.col("hi")) | F.col("own")).alias("mixed"))
-    )
-    found = runs.join(keys, "key")
-    plain = found.where("not mixed").select("did", "th", F.col("start").alias("f"), (F.col("start") + F.col("n") + (length - 1)).alias("t"))
-    mixed = found.where("mixed").select("did", "th", "start", "n", "key", "seg")
-    segs = mixed.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
-    twice = segs.where("c > 1").select("key", "seg", F.lit(0).alias("a"), F.col("at.n").alias("b"))
-    # the segment's bytes come from one of its places
-    bodies = segs.select("key", "seg", "c", "at.*").join(docs, ["did", "th"]).select(
-        "key", "seg", F.expr(f"substring(cast(text as binary), start + 1, n + {length - 1})").alias("body")
-    )
-    crowd = segs.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > spread).select("key", F.lit(True).alias("hot"))
-    bodies = bodies.join(crowd, "key", "left")
+    spark = docs.sparkSession
+    runs = docs.mapInArrow(_runs(length, k), "did long, th int, start int, n int, key long, seg long, own boolean")
+    keys = runs.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 or o").select("key")
+    found = checkpointed(runs.join(keys, "key"))
+    segs = found.groupBy("key", "seg").agg(F.count("*").alias("c"), F.max("own").alias("own"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
+    crowd = segs.groupBy("key").agg(F.count("*").alias("m"))
+    segs = checkpointed(segs.join(crowd, "key").select("key", "seg", "c", "own", "m", "at.*"))
+    twice = segs.where("c > 1").select("key", "seg", F.lit(0).alias("a"), F.col("n").alias("b"))
+    # a segment's bytes come from one of its places; a segment alone with its hash needs none
+    bodies = segs.where("m > 1 or own").join(docs, ["did", "th"]).select("key", "seg", "m", F.expr(f"substring(text, start + 1, n + {length - 1})").alias("body"))
     cool = (
-        bodies.where("hot is null").select("key", "seg", "body").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "seg")
+        bodies.where(F.col("m") <= spread).select("key", "seg", "body").repartition(partitions(spark), "key").sortWithinPartitions("key", "seg")
         .mapInArrow(_matches(length), "key long, seg long, a int, b int")
     )
-    each = bodies.where("hot").select("key", "seg", "body").mapInArrow(_spread(length), "key long, seg long, o int, p long, q long")
+    each = bodies.where(F.col("m") > spread).select("key", "seg", "body").mapInArrow(_spread(length), "key long, seg long, o int, p long, q long")
     both = each.groupBy("p", "q").agg(F.count("*").alias("c")).where("c > 1").select("p", "q")
     warm = each.join(both, ["p", "q"]).select("key", "seg", F.col("o").alias("a"), (F.col("o") + 1).alias("b"))
     inner = twice.unionAll(cool).unionAll(warm)
-    back = mixed.join(inner, ["key", "seg"]).select("did", "th", (F.col("start") + F.col("a")).alias("f"), (F.col("start") + F.col("b") + (length - 1)).alias("t"))
-    return plain.unionAll(back).groupBy("did", "th").agg(F.collect_list(F.struct("f", "t")).alias("spans"))
+    back = found.join(inner, ["key", "seg"]).select("did", "th", (F.col("start") + F.col("a")).alias("f"), (F.col("start") + F.col("b") + (length - 1)).alias("t"))
+    return back.groupBy("did", "th").agg(F.collect_list(F.struct("f", "t")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
