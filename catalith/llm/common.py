@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def count_runs(text: Column, separators: str) -> Column:
     """Number of maximal runs of characters outside separators (the inside of a character class); null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{separators}]+")), F.lit(0)).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from catalith.llm.decontaminate import op3_decontaminate
 from catalith.llm.kd_search import OP6_SQL, op6_kd_search
 from catalith.llm.license_scan import op2_license_scan
 from catalith.llm.mixing import op7_mixing
@@ -12,6 +13,7 @@ from catalith.llm.token_counts import op4_token_counts
 QUERIES: dict = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op6_kd_search": op6_kd_search,
     "op7_mixing": op7_mixing,
