@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from catalith.llm.decontaminate import op3_decontaminate
 from catalith.llm.kd_search import OP6_SQL, op6_kd_search
+from catalith.llm.language_id import op5_language_id
 from catalith.llm.license_scan import op2_license_scan
 from catalith.llm.mixing import op7_mixing
 from catalith.llm.sharding import op10_sharding
@@ -15,6 +16,7 @@ QUERIES: dict = {
     "op2_license_scan": op2_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_kd_search": op6_kd_search,
     "op7_mixing": op7_mixing,
     "op10_sharding": op10_sharding,
