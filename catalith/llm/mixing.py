@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import checkpointed
+from catalith.llm.common import checkpointed, count_words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-WORD = r"[^\x20\x09-\x0D]+"
 #: The schedule has 2**k slots, about SLOT_WORDS words each, with k within BITS.
 SLOT_WORDS, BITS = 64, (12, 20)
 #: Documents of a source whose prefix sums one task makes.
@@ -23,7 +22,7 @@ RUN_ROWS = 2000
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return count_words(text)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:

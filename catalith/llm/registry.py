@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalith.llm.decontaminate import op3_decontaminate
+from catalith.llm.jaccard_join import op8_jaccard_join
 from catalith.llm.kd_search import OP6_SQL, op6_kd_search
 from catalith.llm.language_id import op5_language_id
 from catalith.llm.license_scan import op2_license_scan
@@ -20,6 +21,7 @@ QUERIES: dict = {
     "op5_language_id": op5_language_id,
     "op6_kd_search": op6_kd_search,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_score": op9_lm_score,
     "op10_sharding": op10_sharding,
 }

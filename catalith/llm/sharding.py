@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import checkpointed
+from catalith.llm.common import checkpointed, count_words
 
 SHARDS = 40
 #: Cells for each shard: what the driver places is SHARDS * CELLS_PER_SHARD vectors at most.
@@ -22,7 +22,6 @@ PIECE = 1 / 4
 OVERHEAD = 16
 #: Bytes are what the law holds; tokens and rows follow as far as they can.
 WEIGHTS = (4.0, 1.0, 1.0)
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -89,7 +88,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CEL
     text = F.col("text")
     full = base.withColumns({
         "size": text_size(text), "text_crc32": F.crc32(text.cast("binary")),
-        "_h": F.coalesce(F.xxhash64(text, F.octet_length(text)), F.lit(0)), "_t": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        "_h": F.coalesce(F.xxhash64(text, F.octet_length(text)), F.lit(0)), "_t": count_words(text),
         "_r": F.coalesce(F.xxhash64(F.col("doc_id"), text), F.lit(0)),
     })
     cells = shards * cells_per_shard
