@@ -1 +1,124 @@
-"""Registered queries."""
+"""Semantic queries, matrices and ranked search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalith.functions.text import normalised_name
+from catalith.operators import ccm, search, semantic
+from catalith.plans.registry import query
+from catalith.session import table
+from catalith.sources import bridge as B
+
+LE = B.LINE_ENTRIES_SQL
+PART_RULES = (("size", "prefix", "smal", 1), ("size", "contains", "larg", 2), ("shape", "contains", "widget", 1), ("shape", "contains", "plat", 2), ("shape", "contains", "gadget", 4))
+_BITS = """SELECT p_partkey AS asset_id, kind, terms FROM (
+  SELECT p_partkey, 'size' AS kind, CASE WHEN starts_with(lower(p_name), 'smal') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name), 'larg') THEN 2 ELSE 0 END AS terms FROM part
+  UNION ALL SELECT p_partkey, 'shape', CASE WHEN contains(lower(p_name), 'widget') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name), 'plat') THEN 2 ELSE 0 END + CASE WHEN contains(lower(p_name), 'gadget') THEN 4 ELSE 0 END FROM part) WHERE terms > 0"""
+
+
+@query("term_bits", _BITS)
+def term_bits(spark, d):
+    return semantic.match_terms(table(spark, d, "part"), "p_name", PART_RULES).select(F.col("p_partkey").alias("asset_id"), "kind", "terms")
+
+
+@query("term_confidence", f"SELECT *, CASE WHEN kind = 'size' THEN 90 WHEN terms & 2 = 2 THEN 88 WHEN terms & 1 = 1 THEN 70 ELSE 45 END AS confidence FROM ({_BITS})")
+def term_confidence(spark, d):
+    m = semantic.match_terms(table(spark, d, "part"), "p_name", PART_RULES).select(F.col("p_partkey").alias("asset_id"), "kind", "terms")
+    conf = (("size", 1, 90), ("size", 2, 90), ("shape", 2, 88), ("shape", 1, 70), ("shape", 4, 45))
+    return m.withColumn("confidence", semantic.confidence(F.col("kind"), F.col("terms"), conf))
+
+
+@query("default_terms", """SELECT kind, terms, count(*) AS n FROM (
+  SELECT 'descriptive' AS kind, 1 AS terms FROM pages WHERE contains(lower(html), 'title') AND NOT contains(lower(html), 'description') AND NOT contains(lower(html), 'caption') AND NOT contains(lower(html), 'creator')
+  AND NOT contains(lower(html), 'author') AND NOT contains(lower(html), 'keyword')) GROUP BY ALL""")
+def default_terms(spark, d):
+    return semantic.match_terms(table(spark, d, "pages"), "html").where("kind = 'descriptive' and terms = 1").groupBy("kind", "terms").agg(F.count("*").alias("n"))
+
+
+_SERIES = f"""WITH {LE}, f AS (SELECT asset_id, block_id, ifd, tag, min(entry_id) AS id FROM le WHERE flags & 1 = 0 AND tag IN (2, 4, 6) GROUP BY ALL)
+  SELECT asset_id, block_id, ifd, count(*) AS n_tags, string_agg(CAST(id AS VARCHAR), ',' ORDER BY tag) AS sources FROM f GROUP BY ALL HAVING count(*) >= """
+
+
+@query("series_groups", _SERIES + "2")
+def series_groups(spark, d):
+    return semantic.series_groups(B.line_entries(spark, d), [2, 4, 6])
+
+
+@query("series_min_values", _SERIES + "3")
+def series_min_values(spark, d):
+    return semantic.series_groups(B.line_entries(spark, d), [2, 4, 6], least=3)
+
+
+@query("crop_rect", """SELECT l_orderkey AS asset_id, l_quantity AS x, l_tax * 100 AS y, l_extendedprice AS w, l_discount * 100 AS h, 95 AS confidence FROM lineitem WHERE l_quantity >= 0 AND l_tax * 100 >= 0 AND l_extendedprice > 0 AND l_discount * 100 > 0""")
+def crop_rect(spark, d):
+    r = semantic.rectangle(F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_extendedprice"), F.col("l_discount") * 100)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), r.alias("r")).where("r is not null").select("asset_id", "r.*", F.lit(95).alias("confidence"))
+
+
+@query("active_area_rect", """SELECT l_orderkey AS asset_id, l_tax * 100 AS x, l_discount * 100 AS y, l_quantity - l_tax * 100 AS w, l_quantity - l_discount * 100 AS h, 92 AS confidence FROM lineitem WHERE l_quantity - l_tax * 100 > 0 AND l_quantity - l_discount * 100 > 0 AND l_tax >= 0 AND l_discount >= 0""")
+def active_area_rect(spark, d):
+    r = semantic.bounds_rectangle(F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_quantity"), F.col("l_quantity"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), r.alias("r")).where("r is not null").select("asset_id", "r.*", F.lit(92).alias("confidence"))
+
+
+_VEC = "v AS (SELECT vec_id AS asset_id, list_slice(embedding, 1, [1, 2, 3, 9, 10, 12, 16, 39][CAST(vec_id % 8 AS INTEGER) + 1]) AS x FROM embeddings)"
+
+
+def _vectors(spark, d):
+    n = F.element_at(F.array(*[F.lit(i) for i in (1, 2, 3, 9, 10, 12, 16, 39)]), (F.col("vec_id") % 8 + 1).cast("int"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("asset_id"), F.transform(F.slice("embedding", 1, n), lambda v: v.cast("double")).alias("x"))
+
+
+@query("matrix_shape", f"""WITH {_VEC} SELECT asset_id, len(x) AS n, CASE WHEN len(x) = 1 THEN 'scalar' WHEN len(x) <= 4 THEN 'vec' || len(x) WHEN len(x) IN (9, 16) THEN 'matrix' || CAST(sqrt(len(x)) AS INTEGER) || 'x' || CAST(sqrt(len(x)) AS INTEGER)
+  WHEN len(x) % 3 = 0 THEN 'matrix' || CAST(len(x) // 3 AS INTEGER) || 'x3' ELSE 'table' END AS shape FROM v""")
+def matrix_shape(spark, d):
+    v = _vectors(spark, d).withColumn("n", F.size("x").cast("long"))
+    return v.select("asset_id", "n", semantic.shape(F.col("n")).alias("shape"))
+
+
+@query("numeric_status", f"WITH {_VEC} SELECT CASE WHEN len(x) = 0 THEN 'not_numeric' WHEN len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) > 0 THEN 'invalid' ELSE 'complete' END AS status, count(*) AS n, CAST(sum(len(x)) AS BIGINT) AS total FROM v GROUP BY ALL")
+def numeric_status(spark, d):
+    return _vectors(spark, d).groupBy(semantic.numeric_status(F.col("x")).alias("status")).agg(F.count("*").alias("n"), F.sum(F.size("x")).alias("total"))
+
+
+@query("numeric_budget_running", """WITH c AS (SELECT label, vec_id, len(embedding) AS n, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS run FROM embeddings)
+  SELECT label, vec_id, CAST(n AS BIGINT) AS n, CAST(least(run, 1000) - least(run - n, 1000) AS BIGINT) AS returned, CASE WHEN least(run, 1000) - least(run - n, 1000) < n THEN 'partial' ELSE 'complete' END AS status FROM c""")
+def numeric_budget_running(spark, d):
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.size("embedding").cast("long").alias("n"))
+    return semantic.budgeted(e, ["label"], ["vec_id"], "n", 1000)
+
+
+@query("ccm_fields", f"""WITH {_VEC} SELECT asset_id, CAST(len(x) AS BIGINT) AS n, CAST(CASE WHEN len(x) IN (9, 16) THEN CAST(sqrt(len(x)) AS INTEGER) WHEN len(x) % 3 = 0 THEN len(x) // 3 ELSE 1 END AS BIGINT) AS n_rows,
+  CAST(CASE WHEN len(x) IN (9, 16) THEN CAST(sqrt(len(x)) AS INTEGER) WHEN len(x) % 3 = 0 THEN 3 ELSE len(x) END AS BIGINT) AS n_cols FROM v""")
+def ccm_fields(spark, d):
+    return ccm.fields(_vectors(spark, d))
+
+
+@query("ccm_issues", f"""WITH {_VEC}, i AS (SELECT asset_id, x, unnest(list_filter([CASE WHEN len(x) % 3 <> 0 THEN 'matrix_count_not_multiple_of_3' END, CASE WHEN len(x) > 36 THEN 'matrix_count_too_large' END,
+  CASE WHEN CAST(sqrt(len(x)) AS INTEGER) * CAST(sqrt(len(x)) AS INTEGER) <> len(x) THEN 'calibration_not_square' END, CASE WHEN len(x) = 2 AND NOT (x[1] > 0 AND x[2] > 0 AND x[1] + x[2] <= 1) THEN 'white_xy_out_of_range' END,
+  CASE WHEN len(x) >= 3 AND list_min(x) <= 0 THEN 'balance_not_positive' END], lambda e: e IS NOT NULL)) AS issue FROM v) SELECT asset_id, issue FROM i""")
+def ccm_issues(spark, d):
+    return ccm.issues(_vectors(spark, d))
+
+
+@query("fuzzy_normalize", """SELECT p_partkey AS id, lower(trim(regexp_replace(regexp_replace(regexp_replace(p_brand || 'Name' || p_name, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS norm FROM part""")
+def fuzzy_normalize(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), normalised_name(F.concat("p_brand", F.lit("Name"), "p_name")).alias("norm"))
+
+
+QUERY_TEXTS = ("red plate", "small widget", "azure gizmo", "bolt")
+ALIASES = (("azure gizmo", "blue gizmo"), ("small widget", "small anvil"), ("bolt", "rod"))
+
+
+@query("fuzzy_exact_alias", """WITH t(query, term, kind, score) AS (VALUES ('red plate', 'red plate', 'exact', 100.0), ('small widget', 'small widget', 'exact', 100.0), ('azure gizmo', 'azure gizmo', 'exact', 100.0), ('bolt', 'bolt', 'exact', 100.0), ('azure gizmo', 'blue gizmo', 'alias', 96.0), ('small widget', 'small anvil', 'alias', 96.0), ('bolt', 'rod', 'alias', 96.0)), h AS (SELECT t.query, p_partkey AS id, t.score, t.kind FROM part JOIN t ON contains(' ' || p_name || ' ', ' ' || t.term || ' '))
+  SELECT query, id, CAST(max(score) AS DOUBLE) AS score, arg_max(kind, score) AS kind FROM h GROUP BY query, id""")
+def fuzzy_exact_alias(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), normalised_name("p_name").alias("norm"))
+    return search.exact_and_alias(names, spark.createDataFrame([(q,) for q in QUERY_TEXTS], "query string"), spark.createDataFrame(list(ALIASES), "query string, alias string"))
+
+
+@query("fuzzy_topk")
+def fuzzy_topk(spark, d):
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return search.fuzzy_top_k(e, "name", ["red plte", "smal wigdet", "azure gizmo", "gren gizmo"], ALIASES, least=60, k=8)
