@@ -10,14 +10,15 @@ def canonical_name(entries: DataFrame) -> Column:
     """One text for each key; columns that entries lacks count as null."""
     col = lambda c: F.col(c).cast("string") if c in entries.columns else F.lit(None).cast("string")
     num = lambda c: F.col(c) if c in entries.columns else F.lit(None).cast("int")
-    hex4 = lambda c: F.concat(F.lit("0x"), F.lpad(F.hex(num(c)), 4, "0"))
+    hexed = lambda c, n: F.concat(F.lit("0x"), F.lpad(F.hex(num(c)), n, "0"))
+    hex4 = lambda c: hexed(c, 4)
     j = lambda *parts: F.concat(*[F.lit(p[1:]) if p.startswith("=") else col(p) for p in parts])
     kind = F.col("key_kind")
     return (
         F.when(kind == "exif_tag", F.concat(j("=exif:", "ifd", "=:"), hex4("tag"))).when(kind == "comment", F.lit("comment"))
         .when(kind == "exr_attribute", j("=exr:part:", "part", "=:", "name")).when(kind == "iptc_dataset", j("=iptc:", "record", "=:", "dataset"))
         .when(kind == "xmp_property", j("=xmp:", "ns", "=:", "path")).when(kind == "icc_header_field", j("=icc:header:", "num_key"))
-        .when(kind == "icc_tag", F.concat(F.lit("icc:tag:"), hex4("num_key"))).when(kind == "photoshop_irb", F.concat(F.lit("psirb:"), hex4("num_key")))
+        .when(kind == "icc_tag", F.concat(F.lit("icc:tag:"), hexed("num_key", 8))).when(kind == "photoshop_irb", F.concat(F.lit("psirb:"), hex4("num_key")))
         .when(kind == "photoshop_irb_field", F.concat(F.lit("psirb_field:"), hex4("num_key"), j("=:", "name"))).when(kind == "geotiff_key", j("=geotiff:", "num_key"))
         .when(kind == "printim_field", j("=printim:", "name")).when(kind == "bmff_field", j("=bmff:", "name")).when(kind == "jumbf_field", j("=jumbf:", "name"))
         .when(kind == "jumbf_cbor_key", j("=jumbf_cbor:", "name")).when(kind == "png_text", j("=png_text:", "ns", "=:", "name"))
