@@ -10,16 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bound, doc_key
+from catalith.llm.common import bound, checkpointed, doc_key
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
 #: Benchmark windows up to this many are broadcast (16 bytes a window and the slots); more are shuffled.
 BROADCAST_WINDOWS = 200_000
-TOKEN = r"[.!?:;\n]|\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+"
-#: Words for numbers, and units after a number.
-NUMBERS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "dozen", "hundred", "thousand", "million", "billion")
+#: A fixed-size filter of 2**FILTER_BITS bits over the benchmark's pairs of neighbouring tokens; a document window
+#: whose first pair isn't in it is not hashed.
+FILTER_BITS = 20
+NAME = r"(?<=[^.!?:;\n\s] )(\p{Lu})"
+BETWEEN = r"[^\p{L}\p{M}\p{N}\x01_]+"
+#: Units after a number.
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks",
     "month", "months", "year", "years", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "ounce", "ounces", "pound", "pounds", "meter", "meters", "metre", "metres",
@@ -27,41 +30,56 @@ UNITS = (
 )
 
 
-def tokens(text: Column) -> Column:
-    """array of (c, v): the template token, and the lower-cased token behind a placeholder ('' for plain words)."""
-    unit = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.lit(True))])
-    number = F.create_map(*[x for u in NUMBERS for x in (F.lit(u), F.lit(True))])
+def marked(text: Column) -> Column:
+    """The lower-cased text with \\x01p before names (capitalised words that don't begin a sentence), \\x01n before
+    numbers and \\x01u before units after a number."""
+    names = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit(" ")), NAME, "\x01p$1")
+    with_numbers = lambda m: F.when(F.rlike(m, F.lit(r"\p{N}")), _numbered(m)).otherwise(m)
+    return F.lower(bound(names, with_numbers))
 
-    def one(t: Column, before: Column) -> Column:
-        low = F.lower(t)
-        first = F.substring(t, 1, 1)
-        kind = (
-            F.when(F.rlike(first, F.lit(r"\p{N}")), F.lit("\x01n"))
-            .when(F.rlike(first, F.lit(r"[.!?:;\n]")), F.lit(""))
-            .when((first != F.lower(first)) & ~F.rlike(before, F.lit(r"^[.!?:;\n]")), F.lit("\x01p"))
-            .when(F.try_element_at(number, low).isNotNull(), F.lit("\x01n"))
-            .when(F.rlike(before, F.lit(r"^\p{N}")) & F.try_element_at(unit, low).isNotNull(), F.lit("\x01u"))
-        )
-        return F.struct(F.coalesce(kind, low).alias("c"), F.when(kind.startswith("\x01"), low).otherwise(F.lit("")).alias("v"))
 
-    raw = F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
-    return F.filter(bound(raw, lambda r: F.zip_with(r, F.slice(F.concat(F.array(F.lit(".")), r), F.lit(1), F.greatest(F.size(r), F.lit(1))), one)), lambda x: x["c"] != "")
+def _numbered(m: Column) -> Column:
+    joined = F.regexp_replace(m, r"(?<=\p{N})[.,:/](?=\p{N})", "_")
+    numbers = F.regexp_replace(joined, r"\p{N}[\p{N}_]*", " \x01n$0 ")
+    return F.regexp_replace(numbers, r"(?i)(\x01n[\p{N}_]+\s+)(" + "|".join(UNITS) + r")(?![\p{L}\p{M}\p{N}])", "$1\x01u$2")
 
 
-def windows(df: DataFrame, n: int = WINDOW) -> DataFrame:
-    """df without text, one row for each window: h (hash), pos (from 0) and s (its slots' values, null if it has none)."""
+def _pair(h: Column, i: Column) -> Column:
+    """The filter bit of the tokens i and i + 1 (from 1)."""
+    return (F.element_at(h, i) * 31 + F.element_at(h, i + 1)).bitwiseAND(F.lit(2**FILTER_BITS - 1).cast("long"))
 
-    def each(c: Column, v: Column) -> Column:
-        some = F.exists(v, lambda x: x != "")
-        return F.when(F.size(c) >= n, bound(some, lambda has: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1))), lambda i: F.struct(
-            F.xxhash64(F.slice(c, i, n)).alias("h"), (i - 1).alias("pos"), F.when(has, F.array_join(F.slice(v, i, n), "\x02")).alias("s")
-        ))))
 
-    found = bound(tokens(F.col("text")), lambda t: bound(F.transform(t, lambda x: x["c"]), lambda c: bound(F.transform(t, lambda x: x["v"]), lambda v: each(c, v))))
+def windows(df: DataFrame, n: int = WINDOW, bits: Column | None = None) -> DataFrame:
+    """df without text, one row for each window: h (hash), pos (from 0), b (filter bit), s (its slots' values, null if
+    it has none). With bits, the filter as an array of longs, only windows whose first pair of tokens is in it."""
+
+    def each(t: Column, has: Column) -> Column:
+        c = F.when(has, F.transform(t, lambda x: F.when(x.startswith("\x01"), F.substring(x, 1, 2)).otherwise(x))).otherwise(t)
+        return bound(c, lambda c: bound(F.transform(c, lambda x: F.hash(x).cast("long")), lambda h: picked(t, has, c, h)))
+
+    def picked(t: Column, has: Column, c: Column, h: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
+        if bits is not None:
+            at = F.filter(at, lambda i: bound(_pair(h, i), lambda p: F.getbit(F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1))
+        value = lambda x: F.when(x.startswith("\x01"), F.substring(x, 3, 2**30)).otherwise(F.lit(""))
+        return F.transform(at, lambda i: F.struct(
+            F.xxhash64(F.slice(c, i, n)).alias("h"), (i - 1).alias("pos"), _pair(h, i).alias("b"), F.when(has, F.array_join(F.transform(F.slice(t, i, n), value), "\x02")).alias("s")
+        ))
+
+    split = lambda m: F.filter(F.split(m, BETWEEN), lambda x: x != "")
+    found = bound(marked(F.col("text")), lambda m: bound(split(m), lambda t: F.when(F.size(t) >= n, each(t, F.contains(m, F.lit("\x01"))))))
     keep = [c for c in df.columns if c != "text"]
     return df.select(*keep, F.explode(found).alias("_w")).select(*keep, "_w.*")
 
 
+def filter_bits(pairs: list[int]) -> Column:
+    """The filter over the bits in pairs, as one constant array of longs."""
+    words = [0] * (2**FILTER_BITS // 64)
+    for p in pairs:
+        words[p >> 6] |= 1 << (p & 63)
+    return F.split(F.lit(",".join(str(w - 2**64 if w >= 2**63 else w) for w in words)), ",").cast("array<bigint>")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """did, th, item_id, item_windows, matched, coverage, slots_changed: documents that hold a benchmark item.
 
@@ -71,10 +89,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverag
     are identified by their text; null item_ids are kept as an item of their own; other columns are ignored.
     """
     bench = windows(benchmark.select("item_id", "text").distinct(), n)
-    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "h", F.col("pos").alias("bpos"), F.col("s").alias("bs"))
+    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "h", F.col("pos").alias("bpos"), F.col("s").alias("bs"), "b")
+    bench = checkpointed(bench)
+    bits = filter_bits([r.b for r in bench.select("b").distinct().collect()])  # 2**FILTER_BITS values at most
+    bench = bench.drop("b")
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sizes = bench.groupBy("item_id").agg(F.countDistinct("bpos").alias("item_windows"))
-    own = windows(docs.select(*doc_key(docs), "text"), n)
+    own = windows(docs.select(*doc_key(docs), "text"), n, bits).drop("b")
     hits = own.join(F.broadcast(bench) if small else bench, "h").withColumn("diag", F.col("pos") - F.col("bpos"))
     # (item value, document value) of each slot; both sides have the same placeholders at the same places
     pairs = F.when(F.col("s").isNotNull() & F.col("bs").isNotNull(), F.filter(F.arrays_zip(F.split("bs", "\x02").alias("b"), F.split("s", "\x02").alias("d")), lambda x: x["b"] != ""))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalith.llm.decontaminate import op3_decontaminate
-from catalith.llm.jaccard_join import op8_jaccard_join
+from catalith.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from catalith.llm.kd_search import OP6_SQL, op6_kd_search
 from catalith.llm.language_id import op5_language_id
 from catalith.llm.license_scan import op2_license_scan
@@ -25,4 +25,4 @@ QUERIES: dict = {
     "op9_lm_score": op9_lm_score,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict = {"op6_kd_search": OP6_SQL}
+ORACLES: dict = {"op6_kd_search": OP6_SQL, "op8_jaccard_join": OP8_SQL}
