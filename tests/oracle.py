@@ -18,7 +18,10 @@ def connect(sf: str):
 def _cell(x):
     if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
-    return round(float(x), 6) if isinstance(x, float) else int(x) if isinstance(x, (int, bool)) else str(x)
+    try:  # a column with nulls may come as floats from one side and as integers from the other
+        return str(x) if isinstance(x, str) else round(float(x), 6)
+    except (TypeError, ValueError):
+        return str(x)
 
 
 def rows(df: pd.DataFrame) -> list[str]:
