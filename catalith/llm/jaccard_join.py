@@ -27,6 +27,8 @@ WORDS = 5
 PERCENT = 80
 #: Sets below this size have (nearly) a fragment for each shingle.
 SMALL = 32
+#: Up to this many classes are broadcast (about 30 MB) to fetch their texts; more are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 #: Coarse fragments that verify, and cells of the sketch that rules pairs out.
 FRAGMENTS, CELLS = 4, 64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U64)
@@ -40,7 +42,7 @@ def shingle_sets(batch: pa.RecordBatch, words: int = WORDS) -> tuple[np.ndarray,
     n = sizes - 1
     x = np.zeros(len(h), U64)
     for j in range(words):
-        x[: len(h) - j] += h[j:] * _STEP[j % 5] * U64(2 * j + 1)
+        x[: max(0, len(h) - j)] += h[j:] * _STEP[j % 5] * U64(2 * j + 1)
     at = np.arange(len(h))
     whole = at + words <= ends[owner]
     # short texts: their words up to the end token, which stands for nothing but the length
@@ -107,14 +109,27 @@ def fragment_signatures(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     return (np.concatenate(rows), np.concatenate(sigs)) if rows else (np.empty(0, int), np.empty(0, U64))
 
 
+def sketches(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Shingles of each set in each of CELLS ranges of hashes, modulo 256: two sets differ in no less than these do."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    per = np.bincount(owner * CELLS + (x >> U64(58)).astype(np.int64), minlength=CELLS * len(sizes)).astype(np.uint8)
+    return [r.tobytes() for r in per.reshape(-1, CELLS)]
+
+
+def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches and sizes allow the threshold."""
+    d = np.abs(a - b)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(d, 256 - d).sum(1) <= (100 - percent) * (na + nb))
+
+
 def _classes(words: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 x, sizes = shingle_sets(part, words)
-                k, k2 = set_keys(x, sizes)
-                yield pa.RecordBatch.from_arrays([part.column("did"), part.column("th"), pa.array(sizes.astype(np.int64)), pa.array(k.view(np.int64)), pa.array(k2.view(np.int64))], names=["did", "th", "n", "a", "a2"])
+                k, _ = set_keys(x, sizes)
+                yield pa.RecordBatch.from_arrays([part.column("did"), part.column("th"), pa.array(sizes.astype(np.int64)), pa.array(k.view(np.int64)), pa.array(sketches(x, sizes), pa.binary())], names=["did", "th", "n", "a", "cells"])
 
     return step
 
@@ -132,7 +147,10 @@ def _signatures(words: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, a) in order to the rows of groups of two classes and more, with the group's first class."""
+    """Rows (sig, a) in order to the rows of groups of two classes and more, with the group's first class.
+
+    A group within a batch is named by its members, so that groups alike under many signatures become one group later.
+    """
     sig0 = a0 = first = None
     alone = True
     for b in batches:
@@ -154,11 +172,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = ~(start & last)
         if not start[0] and alone and first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([sig0], pa.int64()), pa.array([first], pa.int64()), pa.array([first], pa.int64())], names=["sig", "a", "first"])
+        bounds = np.flatnonzero(start | (np.arange(len(sig)) == 0))
+        per = np.diff(np.append(bounds, len(sig)))
+        name = np.repeat(mix64(np.add.reduceat(mix64(a.view(U64)), bounds) + per.astype(U64)).view(np.int64), per)
+        name[bounds[-1] :] = sig[-1]
+        if not start[0]:
+            name[: per[0]] = sig[0]
         # a group may go on in the next batch: its first row waits
         wait = start[-1]
         if wait:
             member[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(sig[member]), pa.array(a[member]), pa.array(lead[member])], names=["sig", "a", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(name[member]), pa.array(a[member]), pa.array(lead[member])], names=["sig", "a", "first"])
         sig0, a0, first, alone = sig[-1], a[-1], lead[-1], bool(wait)
 
 
@@ -169,12 +193,8 @@ def _crossed(percent: int):
         a, comp, n = rows.a.to_numpy(), rows.comp.to_numpy(), rows.n.to_numpy()
         cells = np.stack([np.frombuffer(x, np.uint8) for x in rows.cells]).astype(np.int16)
         for i in range(len(a) - 1):
-            far = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
-            if not len(far):
-                continue
-            # counts are kept modulo 256, so the ring's distance never overstates the difference
-            d = np.abs(cells[far] - cells[i])
-            far = far[(100 + percent) * np.minimum(d, 256 - d).sum(1) <= (100 - percent) * (n[i] + n[far])]
+            far = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            far = far[possible(cells[far], cells[i], n[far], n[i], percent)] if len(far) else far
             if len(far):
                 yield np.full(len(far), a[i]), a[far]
 
@@ -194,6 +214,19 @@ def _crossed(percent: int):
     return step
 
 
+def _ruled_out(percent: int):
+    """Pairs with both sketches to those that may be similar."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cl, ch = (np.stack([np.frombuffer(v.as_py(), np.uint8) for v in b.column(c)]).astype(np.int16) for c in ("cl", "ch"))
+                ok = pa.array(possible(cl, ch, b.column("nl").to_numpy(), b.column("nh").to_numpy(), percent))
+                yield pa.RecordBatch.from_arrays([b.column("lo").filter(ok), b.column("hi").filter(ok)], names=["lo", "hi"])
+
+    return step
+
+
 def _sets(words: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,15 +235,14 @@ def _sets(words: int):
                 x, sizes = shingle_sets(part, words)
                 first = np.cumsum(sizes) - sizes
                 a = part.column("a").to_numpy()
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
                 for i, (f, n) in enumerate(zip(first, sizes, strict=True)):
                     own = x[f : f + n]
-                    cells = np.bincount((own >> U64(58)).astype(np.int64), minlength=CELLS).astype(np.uint8).tobytes()
                     cut = np.searchsorted(own, (np.arange(1, FRAGMENTS) * (2**64 // FRAGMENTS)).astype(U64))
                     for j, piece in enumerate(np.split(own, cut)):
-                        for c, v in zip(out, (a[i], j, n, cells if j == 0 else None, piece.tobytes()), strict=True):
+                        for c, v in zip(out, (a[i], j, n, piece.tobytes()), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["a", "frag", "n", "cells", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "frag", "n", "piece"])
 
     return step
 
@@ -225,15 +257,25 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lo"), b.column("hi"), b.column("nl"), b.column("nh"), b.column("frag"), pa.array(n, pa.int64())], names=["lo", "hi", "nl", "nh", "frag", "part"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def fetched_sets(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int = WORDS) -> DataFrame:
+    """a, frag, n, piece: the sets of all classes in pairs, from the text of one document of each."""
+    both = pairs.select(F.explode(F.array("lo", "hi")).alias("a")).distinct()
+    members = checkpointed(both.join(classes, "a").select("a", "at.did", "at.th"))
+    if members.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        members = F.broadcast(members)
+    return checkpointed(base.join(members, ["did", "th"]).select("a", "text").mapInArrow(_sets(words), "a long, frag int, n long, piece binary"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (lo, hi) that reach the threshold: overlaps counted fragment by fragment, then summed."""
+    sets = fetched_sets(pairs, classes, base, words)
     low = sets.select(F.col("a").alias("lo"), "frag", F.col("n").alias("nl"), F.col("piece").alias("pl"))
     high = sets.select(F.col("a").alias("hi"), "frag", F.col("n").alias("nh"), F.col("piece").alias("ph"))
-    sized = pairs.join(high, "hi").join(low, ["lo", "frag"]).where(100 * F.least("nl", "nh") >= percent * F.greatest("nl", "nh"))
+    sized = pairs.join(high, "hi").join(low, ["lo", "frag"])
     parts = sized.select("lo", "hi", "nl", "nh", "frag", "pl", "ph").mapInArrow(_partial, "lo long, hi long, nl long, nh long, frag int, part long")
     # a document that comes twice has its set twice
     whole = parts.distinct().groupBy("lo", "hi", "nl", "nh").agg(F.sum("part").alias("both"))
-    return whole.where(100 * F.col("both") >= percent * (F.col("nl") + F.col("nh") - F.col("both"))).select("lo", "hi")
+    return checkpointed(whole.where(100 * F.col("both") >= percent * (F.col("nl") + F.col("nh") - F.col("both"))).select("lo", "hi"))
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -248,23 +290,21 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         raise ValueError("the fragments are cut for thresholds of 80 per cent and more")
     n = partitions(docs.sparkSession)
     base = docs.select(*doc_key(docs), F.col("text").cast("binary").alias("text"))
-    rows = checkpointed(base.mapInArrow(_classes(words), "did long, th int, n long, a long, a2 long"))
+    rows = checkpointed(base.mapInArrow(_classes(words), "did long, th int, n long, a long, cells binary"))
     full = rows.where("n > 0")
-    classes = full.groupBy("a").agg(F.min("did").alias("did"), F.min(F.struct("did", "th")).alias("at"), F.min(F.when(F.col("did") != NULL_ID, F.col("did"))).alias("id"))
+    classes = full.groupBy("a").agg(F.min("did").alias("did"), F.min(F.struct("did", "th")).alias("at"), F.min(F.when(F.col("did") != NULL_ID, F.col("did"))).alias("id"), F.min("n").alias("n"), F.min("cells").alias("cells"))
     groups = base.select("text").mapInArrow(_signatures(words), "sig long, a long").repartition(n, "sig").sortWithinPartitions("sig", "a")
-    groups = checkpointed(groups.mapInArrow(_shared, "sig long, a long, first long"))
-    members = groups.select("a").distinct().join(classes.select("a", "at.did", "at.th"), "a")
-    sets = checkpointed(members.join(base, ["did", "th"]).select("a", "text").mapInArrow(_sets(words), "a long, frag int, n long, cells binary, piece binary"))
+    groups = checkpointed(groups.mapInArrow(_shared, "sig long, a long, first long").distinct())
     star = groups.where("a <> first").select(F.least("a", "first").alias("lo"), F.greatest("a", "first").alias("hi")).distinct()
-    star = checkpointed(star)
-    near = checkpointed(verified(star, sets, percent))
+    side = lambda x: classes.select(F.col("a").alias(x), F.col("n").alias("n" + x[0]), F.col("cells").alias("c" + x[0]))
+    star = checkpointed(star.join(side("lo"), "lo").join(side("hi"), "hi").mapInArrow(_ruled_out(percent), "lo long, hi long"))
+    near = verified(star, classes, base, words, percent)
     comp = checkpointed(components(near, "lo", "hi"))
     named = groups.join(comp.select(F.col("node").alias("a"), "component"), "a", "left").select("sig", "a", F.coalesce("component", "a").alias("comp"))
     mixed = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    sketch = sets.where("frag = 0").select("a", "n", "cells")
-    cross = named.join(mixed, "sig").join(sketch, "a").select("sig", "a", "comp", "n", "cells").repartition(n, "sig").sortWithinPartitions("sig", "a")
-    other = cross.mapInPandas(_crossed(percent), "lo long, hi long").distinct().join(star, ["lo", "hi"], "left_anti")
-    more = checkpointed(verified(other, sets, percent))
+    cross = named.join(mixed, "sig").join(classes.select("a", "n", "cells"), "a").select("sig", "a", "comp", "n", "cells").repartition(n, "sig").sortWithinPartitions("sig", "a")
+    other = checkpointed(cross.mapInPandas(_crossed(percent), "lo long, hi long").distinct().join(star, ["lo", "hi"], "left_anti"))
+    more = verified(other, classes, base, words, percent)
     comp = components(near.unionAll(more), "lo", "hi").select(F.col("node").alias("a"), "component")
     ids = classes.join(comp, "a", "left").select("a", "id", F.coalesce("component", "a").alias("component"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
