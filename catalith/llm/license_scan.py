@@ -1,24 +1,27 @@
 """License detections by ordered signature rules, in DataFrame functions only.
 
 A rule is a label, a priority, a keyword and a regular expression over a text's words, one blank between two words.
-A keyword prefilter decides which rules look at a text. A detection is an interval of words; it is suppressed when an
+The words that a rule's expression can't do without decide which texts are looked at (gate_of), a keyword that all its
+alternatives hold decides which rules look at a text. A detection is an interval of words; it is suppressed when an
 interval of a rule that ranks at least as high contains it.
 """
 
 from __future__ import annotations
 
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ascii_lower, count_runs
+from catalith.llm.common import ascii_lower, bound, count_runs
 
 #: Words are runs of digits, letters and everything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What separates words of a text not yet lower-cased.
 BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Every rule's keyword stands with one of these in the text; a text without any is not looked at.
-GATES = ("licen", "cc", "spdx", "copyright", "copyleft", "rights", "domain", "gpl")
+#: Expressions that match an ordinary word (German 'mit'), and the strings of which the text must hold one besides.
+UNSURE = {r"(?:mit(?: x11)?(?: open source)?)": ("cc", "copyleft", "copyright", "domain", "gpl", "licen", "rights", "spdx")}
 #: Confidence by priority.
 CONFIDENCE = (0.0, 0.4, 0.6, 0.8, 0.95, 1.0)
 _V = r"(?: v(?:ersion)?)?"
@@ -48,7 +51,7 @@ LICENSES = (
     ("agpl-3.0", "gpl", r"agpl" + _V + r" 3(?: 0)?", "agpl 3 0"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public(?: license)?" + _V + r" 3(?: 0)?", "agpl 3 0 or later"),
     ("agpl", "affero", r"(?:gnu )?affero general public", "agpl"),
-    ("gfdl", "documentation", r"gnu free documentation|gfdl", "gfdl"),
+    ("gfdl", "g", r"gnu free documentation|gfdl", "gfdl"),
     ("mpl-1.0", "mozilla", r"mozilla public(?: license)?" + _V + r" 1 0", "mpl 1 0"),
     ("mpl-1.1", "mozilla", r"mozilla public(?: license)?" + _V + r" 1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public(?: license)?" + _V + r" 2(?: 0)?", "mpl 2 0"),
@@ -65,7 +68,7 @@ LICENSES = (
     ("artistic-1.0", "artistic", r"artistic(?: license)?" + _V + r" 1(?: 0)?", "artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic(?: license)?" + _V + r" 2(?: 0)?", "artistic 2 0"),
     ("artistic", "artistic", r"(?:perl )?artistic", "artistic"),
-    ("psf", "python", r"python software foundation|psf", "psf 2 0"),
+    ("psf", "p", r"python software foundation|psf", "psf 2 0"),
     ("python", "python", r"python(?: 2 0)?", "python 2 0"),
     ("zlib", "zlib", r"zlib(?: libpng)?", "zlib"),
     ("libpng", "libpng", r"libpng", "libpng"),
@@ -92,7 +95,7 @@ LICENSES = (
     ("ruby", "ruby", r"ruby", "ruby"),
     ("postgresql", "postgresql", r"postgresql", "postgresql"),
     ("curl", "curl", r"curl", "curl"),
-    ("icu", "unicode", r"unicode(?: dfs 2016)?|icu", "icu"),
+    ("icu", "c", r"unicode(?: dfs 2016)?|icu", "icu"),
     ("w3c", "w3c", r"w3c(?: software)?", "w3c"),
     ("odbl-1.0", "database", r"open (?:data commons )?(?:open )?database(?: license)?(?: 1 0)?", "odbl 1 0"),
     ("odc-by-1.0", "commons", r"open data commons attribution(?: license)?(?: 1 0)?", "odc by 1 0"),
@@ -136,6 +139,7 @@ NOTICES = (
     ("boost-1.0", 4, "boost", r"distributed under the boost software license version 1 0"),
     ("unlicense", 4, "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("wtfpl", 4, "what", r"you just do what the fuck you want to"),
+    ("mit", 2, "mit", r"mit(?: x11)? open source|mit x11"),
     ("copyleft", 1, "copyleft", r"copyleft"),
     ("unknown", 1, "licen", r"licen[sc]ed under"),
 )
@@ -156,6 +160,52 @@ def rules() -> list[tuple[str, int, str, str]]:
     return out
 
 
+def needs(x: str) -> list[tuple[str, ...]]:
+    """What a lower-cased text must hold for x to match its words: of each tuple one string.
+
+    The literals of x itself, cut at blanks, and of each group with alternatives the longest literal of every one. Optional
+    parts need nothing.
+    """
+    return _needs(_parser.parse(x))
+
+
+def _needs(parsed) -> list[tuple[str, ...]]:
+    out, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _constants.LITERAL and arg != 32:
+            run += chr(arg)
+            continue
+        if run:
+            out.append((run,))
+        run = ""
+        if op is _constants.SUBPATTERN:
+            out += _needs(arg[3])
+        elif op is _constants.BRANCH:
+            each = [_needs(a) for a in arg[1]]
+            if all(each):  # of an alternative, the tuple whose shortest string is longest
+                out.append(tuple(sorted({w for a in each for w in max(a, key=lambda c: (min(map(len, c)), -len(c)))})))
+    return out
+
+
+def gate_of(items: list[tuple[str, int, str, str]]) -> list[list[tuple[str, ...]]]:
+    """The needs of all rules, without those that another's imply; a text that meets none of them matches no rule.
+
+    The rules that say 'license' need 'licen'; those that say 'released under' and the like need that verb and 'under'.
+    """
+    found = set()
+    for _, _, _, x in items:
+        n = {*needs(x), *([UNSURE[x]] if x in UNSURE else [])}
+        wide = [c for c in n if c == ("licen",) or "released" in c and len(c) > 1]
+        if ("licen",) in wide:
+            n = {("licen",)}
+        elif wide and ("under",) in n:
+            n = {*wide, ("under",)}
+        found.add(frozenset(n))
+    least = [n for n in found if not any(o < n for o in found)]
+    longest = lambda c: -min(map(len, c))
+    return sorted((sorted(n, key=lambda c: (longest(c), c)) for n in least), key=lambda n: (len(n), n))
+
+
 def words_of(text: Column) -> Column:
     """' w1 w2 ... ' of a lower-cased text; ' ' if it has no words."""
     return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(ascii_lower(text), F.lit(" ")), SEPARATORS, " ")))
@@ -163,7 +213,7 @@ def words_of(text: Column) -> Column:
 
 def _rule_array(items: list[tuple[str, int, str, str]]) -> Column:
     return F.array(*[
-        F.struct(F.lit(label).alias("label"), F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(f"(?<= )({x})(?= )").alias("x"), F.lit(i).alias("i"))
+        F.struct(F.lit(label).alias("label"), F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(f"(?<= )({x})(?= )").alias("x"), F.lit(i).alias("i"), F.array(*[F.lit(w) for w in UNSURE.get(x, ())]).cast("array<string>").alias("besides"))
         for i, (label, p, k, x) in enumerate(items)
     ])
 
@@ -180,7 +230,7 @@ def detections(norm: Column, items: list[tuple[str, int, str, str]]) -> Column:
             s.alias("s"), (s + F.size(F.split(t, " "))).alias("e"), r["p"].alias("p"), r["i"].alias("i"), r["label"].alias("label")
         ))
 
-    gated = F.filter(_rule_array(items), lambda r: F.contains(norm, r["k"]))
+    gated = F.filter(_rule_array(items), lambda r: F.contains(norm, r["k"]) & ((F.size(r["besides"]) == 0) | F.exists(r["besides"], lambda w: F.contains(norm, w))))
     return F.flatten(F.transform(F.filter(gated, lambda r: F.call_function("rlike", norm, r["x"])), found))
 
 
@@ -212,11 +262,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     detections are the (s, e, p, label) that stay. A null text is empty: no words, no labels (''), score 0, null first
     and last word. One row for each input row, whatever its doc_id; other columns are ignored. No shuffle.
     """
-    low = F.lower(F.col("text"))
-    gate = None
-    for g in GATES:
-        gate = F.contains(low, F.lit(g)) if gate is None else gate | F.contains(low, F.lit(g))
     items = rules()
+    ways = F.array(*[F.array(*[F.array(*[F.lit(w) for w in c]) for c in n]) for n in gate_of(items)])
+    gate = bound(F.lower(F.col("text")), lambda low: F.exists(ways, lambda n: F.forall(n, lambda c: F.exists(c, lambda w: F.contains(low, w)))))
     d = docs.select("doc_id", "text").withColumn("n_words", count_runs(F.col("text"), BETWEEN))
     d = d.withColumn("norm", F.when(gate, words_of(F.col("text"))))
     empty = F.array().cast("array<struct<s:int,e:int,p:int,i:int,label:string>>")

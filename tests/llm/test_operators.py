@@ -108,6 +108,44 @@ def test_license_rules_suppression_by_brute_force(spark):
     assert got == [",".join(sorted(names(w))) for w in norm]
 
 
+def _phrases(parsed, rng, first):
+    """A string that the parsed expression matches: the first choices, or random ones."""
+    from re import _constants as c
+
+    out = ""
+    for op, arg in parsed:
+        if op is c.LITERAL:
+            out += chr(arg)
+        elif op is c.IN:
+            chars = [chr(x) for o, a in arg for x in ([a] if o is c.LITERAL else range(a[0], a[1] + 1))]
+            out += chars[0] if first else rng.choice(chars)
+        elif op is c.BRANCH:
+            out += _phrases(arg[1][0] if first else rng.choice(arg[1]), rng, first)
+        elif op is c.SUBPATTERN:
+            out += _phrases(arg[3], rng, first)
+        else:
+            out += _phrases(arg[2], rng, first) if not first and rng.random() < 0.5 else ""
+    return out
+
+
+def test_license_rules_find_their_own_phrase(spark):
+    import random
+    from re import _parser
+
+    rng, rules = random.Random(7), license_scan.rules()
+    texts = sorted({_phrases(_parser.parse(x), rng, i == 0) for _, _, _, x in rules for i in range(3)})
+    texts += ["Released under Apache 2.0", "available under Mozilla Public 2.0", "Creative Commons Attribution 4.0", "Proprietary and confidential", "MIT X11", "PSF", "ICU", "GFDL"]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "score", "labels").collect()
+    got = {texts[r.doc_id]: (r.score, r.labels) for r in found}
+    for t in texts:
+        w = " " + re.sub(r"[^a-z0-9]+", " ", t.lower()).strip() + " "
+        ungated = [r for r in rules if re.search(f"(?<= )({r[3]})(?= )", w) and (r[3] not in license_scan.UNSURE or any(x in w for x in license_scan.UNSURE[r[3]]))]
+        assert got[t][0] == max((license_scan.CONFIDENCE[r[1]] for r in ungated), default=0.0), t
+        assert set(got[t][1].split(",")) - {""} <= {r[0] for r in ungated} and bool(got[t][1]) == bool(ungated), t
+    # a German preposition is no license
+    assert [r.labels for r in license_scan.scan_licenses(spark.createDataFrame([(1, "Wir fahren mit dem Zug."), (2, "MIT, copyright 2020")], "doc_id long, text string")).orderBy("doc_id").collect()] == ["", "mit"]
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
