@@ -3,7 +3,9 @@
 Each source's documents, shuffled by a hash, are one long row of words cut into equal blocks. A schedule of 2**k
 slots takes the van der Corput point of each slot and maps it through the cumulative target weights to a source;
 the slots of a source are ranked, and rank r takes block r modulo the number of blocks. Joining the schedule with
-the blocks tells how many words of each document the mix takes. Plain DataFrame functions only.
+the blocks tells how many words of each document the mix takes. A slot that a border between sources cuts gives each
+its part: what a source's whole slots leave of its target is taken word by word after its last block, so that every
+source, however small, takes its target to the word. Plain DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -57,18 +59,22 @@ def _bits(total: Column) -> Column:
     return F.greatest(F.lit(BITS[0]), F.least(F.lit(BITS[1]), k))
 
 
+def stretches(targets: DataFrame) -> DataFrame:
+    """targets with k, slots (2**k) and the whole cells from (inclusive) to to (exclusive) of each source's stretch."""
+    every = Window.partitionBy(F.lit(0))
+    t = targets.withColumn("k", _bits(F.sum("target").over(every))).withColumn("slots", F.pow(F.lit(2.0), "k"))
+    share, total = F.sum("target").over(every.orderBy("no")), F.sum("target").over(every)
+    t = t.withColumns({"from": F.ceil((share - F.col("target")) / total * F.col("slots")).cast("long"), "to": F.floor(share / total * F.col("slots")).cast("long")})
+    return t.withColumn("to", F.greatest("from", "to"))
+
+
 def schedule(targets: DataFrame) -> DataFrame:
-    """no, slot, rank: the source of each slot and the slot's rank within its source.
+    """no, slot, rank: the source of each slot that lies whole in one source's stretch and the slot's rank within it.
 
     Slot i has the van der Corput point of i. With 2**k slots these points are the cells j / 2**k, each once, so the
     cells of a source's stretch of cumulative weights, with their bits reversed, are its slots.
     """
-    run = Window.partitionBy(F.lit(0)).orderBy("no")
-    t = targets.withColumn("k", _bits(F.sum("target").over(Window.partitionBy(F.lit(0))))).withColumn("slots", F.pow(F.lit(2.0), "k"))
-    share = F.sum("target").over(run)
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    t = t.withColumns({"to": F.round(share / total * F.col("slots")).cast("long"), "from": F.round((share - F.col("target")) / total * F.col("slots")).cast("long")})
-    cells = t.where("target > 0 and to > from").select("no", "k", F.explode(F.sequence("from", F.col("to") - 1)).alias("cell"))
+    cells = stretches(targets).where("target > 0 and to > from").select("no", "k", F.explode(F.sequence("from", F.col("to") - 1)).alias("cell"))
     slot = F.conv(F.reverse(F.lpad(F.bin("cell"), F.col("k"), F.lit("0"))), 2, 10).cast("long")
     return cells.withColumn("slot", slot).select("no", "slot", (F.row_number().over(Window.partitionBy("no").orderBy("slot")) - 1).cast("long").alias("rank"))
 
@@ -103,20 +109,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     targets = checkpointed(source_targets(sized, weights, cap))
     slots = schedule(targets)
     total = Window.partitionBy(F.lit(0))
+    edge = lambda b: F.least(F.floor(b * F.col("block")).cast("long"), F.col("source_size"))
     # words of a block: a slot's share of all words, so that a source's slots take what its target says
-    block = targets.withColumn("block", F.sum("target").over(total) / F.pow(F.lit(2.0), _bits(F.sum("target").over(total)))).where("source_size > 0").select(
-        "no", "source_size", "target", "block", F.ceil(F.col("source_size") / F.col("block")).cast("long").alias("blocks")
-    )
+    block = stretches(targets).withColumn("block", F.sum("target").over(total) / F.col("slots")).where("source_size > 0").withColumns({
+        "blocks": F.ceil(F.col("source_size") / F.col("block")).cast("long"), "n": F.col("to") - F.col("from"),
+    })
+    # the whole slots end at word stop of the source's row; rest words of the target are left, round and round from there
+    block = block.withColumn("stop", edge(F.pmod(F.col("n"), F.col("blocks"))))
+    block = block.withColumn("rest", F.greatest(F.round("target").cast("long") - F.floor(F.col("n") / F.col("blocks")).cast("long") * F.col("source_size") - F.col("stop"), F.lit(0).cast("long")))
+    block = block.select("no", "source_size", "target", "block", "blocks", "stop", "rest")
     uses = slots.join(block.select("no", "blocks"), "no").where(F.col("rank") < cap * F.col("blocks")).groupBy("no", F.pmod(F.col("rank"), F.col("blocks")).alias("b")).agg(F.count("*").alias("uses"))
     placed = shuffled(sized.where("size > 0"), targets).join(block, "no")
-    edge = lambda b: F.least(F.floor(b * F.col("block")).cast("long"), F.col("source_size"))
+    # how many of a document's words lie in [stop, stop + rest) of the row repeated: whole rounds and two stretches
+    upto = lambda end: F.least(F.greatest(end - F.col("at"), F.lit(0).cast("long")), F.col("size"))
+    end = F.col("stop") + F.col("rest") % F.col("source_size")
+    more = F.floor(F.col("rest") / F.col("source_size")).cast("long") * F.col("size") + upto(end) - upto(F.col("stop")) + upto(end - F.col("source_size"))
+    placed = placed.withColumn("more", more)
     first, last = F.floor(F.col("at") / F.col("block")).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long") + 1
     last = F.least(last, F.col("blocks") - 1)
     pieces = placed.withColumn("b", F.explode(F.sequence(F.least(F.greatest(first - 1, F.lit(0)), last), last))).withColumn(
         "overlap", F.least(F.col("at") + F.col("size"), edge(F.col("b") + 1)) - F.greatest(F.col("at"), edge(F.col("b")))
     ).where("overlap > 0")
-    keys = ["no", "doc_id", "source", "size", "row", "at"]
-    taken = pieces.join(uses, ["no", "b"], "left").groupBy(*keys).agg(F.sum(F.col("overlap") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    keys = ["no", "doc_id", "source", "size", "row", "at", "more"]
+    taken = pieces.join(uses, ["no", "b"], "left").groupBy(*keys).agg((F.sum(F.col("overlap") * F.coalesce("uses", F.lit(0))) + F.col("more")).alias("taken"))
     own = targets.select("no", "source_size", "target")
     none = sized.where("size = 0").join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")))
     out = ["row", "doc_id", "source", "size", "source_size", "target", "taken"]

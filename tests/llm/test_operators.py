@@ -234,6 +234,17 @@ def test_mixing(docs):
     assert all(abs(taken[s] - want[s]) <= max(64, 0.002 * total) for s in sizes)
 
 
+def test_mixing_gives_tiny_sources_their_target(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, "huge", words(20_000)) for i in range(40)] + [(100 + i, f"tiny{i}", words(3 + i)) for i in range(6)] + [(200 + i, "tiny9", words(7)) for i in range(5)]
+    got, taken, target = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect(), defaultdict(int), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        target[(r.source)] = r.target
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(taken[s] == round(target[s]) for s in target)
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(awkward(spark, []).drop("row")).count() == 0
     got = mixing.mix(awkward(spark, ROWS[:3]).drop("row")).collect()
