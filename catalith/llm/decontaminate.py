@@ -3,6 +3,10 @@
 Numbers, names and units become typed placeholders, so that a question with other figures or people keeps its template.
 Windows of WINDOW template tokens are hashed and joined; matches are told from chance by the share of an item's windows
 found on one diagonal, and by slots: what stands for a placeholder must map one item value to one document value.
+
+Whether a capitalised word that begins a sentence is a name can't be told from the text. So texts are read twice: in the
+plain reading such a word is itself; in the open reading it is a name too, and a run of names is one placeholder that its
+last word stands for. Any reading of a document may meet any of an item; the reading of the item with most coverage counts.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ BROADCAST_WINDOWS = 200_000
 #: whose first pair isn't in it is not hashed.
 FILTER_BITS = 20
 NAME = r"(?<=[^.!?:;\n\s] )(\p{Lu})"
+#: After NAME was marked: capitalised words that begin a text, sentence, line or quotation.
+INITIAL = r"(?<![\p{L}\p{M}\p{N}\x01_])(\p{Lu})"
+#: A marked name before another.
+EARLIER = r"\x01p[\p{L}\p{M}\p{N}_]+ +(?=\x01p)"
 BETWEEN = r"[^\p{L}\p{M}\p{N}\x01_]+"
 #: Units after a number.
 UNITS = (
@@ -30,10 +38,12 @@ UNITS = (
 )
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, openly: bool = False) -> Column:
     """The lower-cased text with \\x01p before names (capitalised words that don't begin a sentence), \\x01n before
     numbers and \\x01u before units after a number."""
     names = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit(" ")), NAME, "\x01p$1")
+    if openly:
+        names = F.regexp_replace(F.regexp_replace(names, INITIAL, "\x01p$1"), EARLIER, "")
     with_numbers = lambda m: F.when(F.rlike(m, F.lit(r"\p{N}")), _numbered(m)).otherwise(m)
     return F.lower(bound(names, with_numbers))
 
@@ -49,7 +59,7 @@ def _pair(h: Column, i: Column) -> Column:
     return (F.element_at(h, i) * 31 + F.element_at(h, i + 1)).bitwiseAND(F.lit(2**FILTER_BITS - 1).cast("long"))
 
 
-def windows(df: DataFrame, n: int = WINDOW, bits: Column | None = None) -> DataFrame:
+def windows(df: DataFrame, n: int = WINDOW, bits: Column | None = None, openly: bool = False) -> DataFrame:
     """df without text, one row for each window: h (hash), pos (from 0), b (filter bit), s (its slots' values, null if
     it has none). With bits, the filter as an array of longs, only windows whose first pair of tokens is in it."""
 
@@ -67,11 +77,17 @@ def windows(df: DataFrame, n: int = WINDOW, bits: Column | None = None) -> DataF
         ))
 
     split = lambda m: F.filter(F.split(m, BETWEEN), lambda x: x != "")
-    found = bound(marked(F.col("text")), lambda m: bound(split(m), lambda t: F.when(F.size(t) >= n, each(t, F.contains(m, F.lit("\x01"))))))
+    found = bound(marked(F.col("text"), openly), lambda m: bound(split(m), lambda t: F.when(F.size(t) >= n, each(t, F.contains(m, F.lit("\x01"))))))
     keep = [c for c in df.columns if c != "text"]
     return df.select(*keep, F.explode(found).alias("_w")).select(*keep, "_w.*")
 
 
+def readings(df: DataFrame, n: int = WINDOW, bits: Column | None = None) -> DataFrame:
+    """The windows of both readings, with open (0 or 1)."""
+    plain, openly = (windows(df, n, bits, r == 1).withColumn("open", F.lit(r)) for r in (0, 1))
+    return plain.unionByName(openly)
+
+
 def filter_bits(pairs: list[int]) -> Column:
     """The filter over the bits in pairs, as one constant array of longs."""
     words = [0] * (2**FILTER_BITS // 64)
@@ -88,26 +104,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverag
     chance and match nothing; null texts have no tokens; repeated rows of one doc_id and text count as one; null doc_ids
     are identified by their text; null item_ids are kept as an item of their own; other columns are ignored.
     """
-    bench = windows(benchmark.select("item_id", "text").distinct(), n)
-    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "h", F.col("pos").alias("bpos"), F.col("s").alias("bs"), "b")
+    bench = readings(benchmark.select("item_id", "text").distinct(), n)
+    bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "h", F.col("pos").alias("bpos"), F.col("s").alias("bs"), "b", F.col("open").alias("bopen"))
     bench = checkpointed(bench)
     bits = filter_bits([r.b for r in bench.select("b").distinct().collect()])  # 2**FILTER_BITS values at most
     bench = bench.drop("b")
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    sizes = bench.groupBy("item_id").agg(F.countDistinct("bpos").alias("item_windows"))
-    own = windows(docs.select(*doc_key(docs), "text"), n, bits).drop("b")
+    sizes = bench.groupBy("item_id", "bopen").agg(F.countDistinct("bpos").alias("item_windows"))
+    own = readings(docs.select(*doc_key(docs), "text"), n, bits).drop("b")
     hits = own.join(F.broadcast(bench) if small else bench, "h").withColumn("diag", F.col("pos") - F.col("bpos"))
     # (item value, document value) of each slot; both sides have the same placeholders at the same places
     pairs = F.when(F.col("s").isNotNull() & F.col("bs").isNotNull(), F.filter(F.arrays_zip(F.split("bs", "\x02").alias("b"), F.split("s", "\x02").alias("d")), lambda x: x["b"] != ""))
-    diag = hits.select("did", "th", "item_id", "diag", "bpos", pairs.alias("p")).groupBy("did", "th", "item_id", "diag").agg(
+    diag = hits.select("did", "th", "item_id", "bopen", "open", "diag", "bpos", pairs.alias("p")).groupBy("did", "th", "item_id", "bopen", "open", "diag").agg(
         F.collect_set("bpos").alias("at"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p")
     )
     names = F.array_distinct(F.transform("p", lambda x: x["b"]))
     diag = diag.withColumn("consistent", F.size("p") == F.size(names)).withColumn("changed", F.size(F.filter("p", lambda x: x["b"] != x["d"])))
-    found = diag.where("consistent").groupBy("did", "th", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.min("changed").cast("long").alias("slots_changed"))
-    return (
-        found.join(sizes, "item_id").withColumn("coverage", F.round(F.col("matched") / F.col("item_windows"), 6)).where(F.col("coverage") >= coverage)
-        .select("did", "th", F.when(F.col("item_id") >= 0, F.col("item_id")).alias("item_id"), F.col("item_windows").cast("long").alias("item_windows"), "matched", "coverage", "slots_changed")
+    found = diag.where("consistent").groupBy("did", "th", "item_id", "bopen").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.coalesce(F.min(F.when(F.col("open") == F.col("bopen"), F.col("changed"))), F.min("changed")).cast("long").alias("slots_changed"))
+    found = found.join(sizes, ["item_id", "bopen"]).withColumn("coverage", F.round(F.col("matched") / F.col("item_windows"), 6)).where(F.col("coverage") >= coverage)
+    best = F.max(F.struct("coverage", (-F.col("bopen")).alias("plain"), F.col("item_windows").cast("long").alias("item_windows"), "matched", "slots_changed")).alias("b")
+    return found.groupBy("did", "th", "item_id").agg(best).select(
+        "did", "th", F.when(F.col("item_id") >= 0, F.col("item_id")).alias("item_id"), "b.item_windows", "b.matched", "b.coverage", "b.slots_changed"
     )
 
 

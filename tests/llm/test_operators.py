@@ -306,6 +306,14 @@ def test_decontaminate(spark, sf):
     assert got == {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text}
 
 
+def test_decontaminate_names_that_begin_sentences(spark):
+    items = ["Janet has 3 apples. Janet buys 4 pears. Janet gives 2 plums away.", "New York has 3 old bridges and 7 wide parks. New York needs 2 more bridges soon."]
+    texts = ["Carla has 5 apples. Carla buys 6 pears. Carla gives 9 plums away.", "Paris has 8 old bridges and 9 wide parks. Paris needs 4 more bridges soon.", "Carla has 5 apples. Dora buys 6 pears. Edna gives 9 plums away.", "Carla sees 5 dogs. Carla walks 6 miles. Carla knows 9 towns there."]
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for k, x in (("doc_id", texts), ("item_id", items)))
+    got = {(r.did, r.item_id): r.coverage for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0}
+
+
 def test_decontaminate_templates_and_slots(spark):
     item = "Anna buys 3 apples and 12 pears for 7 dollars today in the old shop. Then Anna pays Bob and walks home."
     other = item.replace("Anna", "Carl").replace("Bob", "Dora").replace("12 pears", "90 pears")
