@@ -16,6 +16,8 @@ U64 = np.uint64
 NULL_ID = -(2**63)
 #: Text bytes handled by one vectorised step in a task (a longer text is one step of its own).
 STEP_BYTES = 1 << 20
+#: Rounds of a component search; they grow with the logarithm of the longest chain, so this is never reached in practice.
+ROUNDS = 200
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +73,8 @@ def count_words(text: Column) -> Column:
 
 
 def doc_key(df: DataFrame) -> list[Column]:
-    """Never-null identity of a document row: its id (null: NULL_ID) and a short hash of its text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.hash("text").alias("th")]
+    """Never-null identity of a document row: its id (null: NULL_ID) and a hash of its text and of whether it has an id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th")]
 
 
 def arrow_texts(col: pa.Array) -> pa.Array:
@@ -142,14 +144,14 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach, by alternating large-star and small-star rounds.
 
-    edges: pairs of longs, any order, self-links ignored. Each round is two shuffles of the links; the links
+    edges: pairs of one orderable type, any order, self-links ignored. Each round is two shuffles of the links; the links
     are cut from their lineage by a checkpoint. Nodes without links don't appear.
     """
     e = checkpointed(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     seen = None
-    for _ in range(60):
+    for _ in range(ROUNDS):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -166,6 +168,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError("the components didn't settle in ROUNDS rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

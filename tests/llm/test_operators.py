@@ -56,21 +56,34 @@ def test_suffix_dedup(docs):
     assert got == sorted(want)
 
 
-def test_suffix_dedup_spreads_hot_hashes_alike(spark, sf):
+def test_suffix_dedup_cuts_crowded_hashes_alike(spark, sf):
     docs = common.documents(spark, sf)
-    pick = lambda n: sorted((r.doc_id, r.kept_sha256) for r in suffix_dedup.dedup_passages(docs, spread=n).collect())
+    pick = lambda n: sorted((r.doc_id, r.kept_sha256) for r in suffix_dedup.dedup_passages(docs, crowd=n).collect())
     assert pick(1) == pick(1500)
 
 
-def test_family_levels_grow_geometrically():
-    f, rng = suffix_dedup.Family(), np.random.default_rng(1)
-    rep = np.zeros(4000, bool)
-    vals = rng.integers(0, 3000, 4000)
+@pytest.mark.parametrize("length", [8, 20, 27])
+def test_family_of_suffix_arrays(length):
+    rng = np.random.default_rng(1)
+    segs = [bytes(rng.integers(97, 100, int(rng.integers(length, 90))).astype(np.uint8)) for _ in range(60)]
+    segs += [segs[3][5:] + segs[4], segs[7], b"a" * 80, b"b" * (length - 1) + b"a" * 60 + b"\0" * 40]
+    segs = [s for s in segs if len(s) >= length]
+    count = Counter(s[i : i + length] for s in segs for i in range(len(s) - length + 1))
+    for batch in (100, 1 << 15):
+        got = suffix_dedup._group(segs, length, batch)
+        assert [m.tolist() for m in got] == [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in segs]
+
+
+def test_suffix_arrays_are_sorted_and_levels_grow_geometrically():
+    rng = np.random.default_rng(2)
+    f, rep, texts = suffix_dedup.Family(12), np.zeros(4000, bool), []
     for lo in range(0, 4000, 100):
-        f.add(np.array([b"%08d" % v for v in vals[lo : lo + 100]], "S8"), np.arange(lo, lo + 100), rep)
+        texts.append(rng.integers(97, 99, 111).astype(np.uint8))
+        f.add(texts[-1], np.arange(100), np.arange(lo, lo + 100), rep)
     assert len(f.levels) <= 8
-    count = Counter(vals)
-    assert rep.tolist() == [count[v] > 1 for v in vals]
+    for level in f.levels:
+        found = [level.text[p : p + 12].tobytes() for p in level.order]
+        assert found == sorted(set(found))
 
 
 def test_license_scan(docs):
@@ -294,6 +307,19 @@ def test_jaccard_join_finds_every_link_of_mutated_texts(spark):
     test_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_jaccard_join_one_large_group_in_many_components(spark, monkeypatch):
+    """Texts that all share most of their shingles, some linked and some not, compared in several chunks of a group."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for n in range(90):
+        w = list(base)
+        for k in range(int(rng.integers(0, 6))):
+            w[int(rng.integers(0, 120))] = f"x{rng.integers(40)}"
+        rows.append((n, " ".join(w)))
+    test_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(9, 8), (8, 7), (3, 7), (20, 21), (5, 5), (22, 21), (7, 3)], "a long, b long")
     assert {r.node: r.component for r in common.components(e).collect()} == {3: 3, 7: 3, 8: 3, 9: 3, 20: 20, 21: 20, 22: 20}
