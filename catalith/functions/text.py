@@ -21,11 +21,20 @@ def ratio_text(num: Column, den: Column) -> Column:
     return F.concat(num.cast("string"), F.lit("/"), den.cast("string"))
 
 
-def reduced(num: Column, den: Column, bound: int) -> Column:
-    """struct(num, den) divided by their greatest common divisor, which is bound at most; 0 reduces to 0/1."""
-    divisors = F.array(*[F.lit(i).cast("long") for i in range(1, bound + 1)])
-    g = F.array_max(F.filter(divisors, lambda k: (num % k == 0) & (den % k == 0)))
-    return F.struct(F.floor(num / g).cast("long").alias("num"), F.floor(den / g).cast("long").alias("den"))
+#: Steps of the Euclidean algorithm that any two 64-bit numbers need at most.
+EUCLID_STEPS = 92
+
+
+def reduced(num: Column, den: Column) -> Column:
+    """struct(num, den) divided by their greatest common divisor, by a fold of Euclid's steps; 0 reduces to 0/1.
+
+    Null where a part is null or both are 0; signs stay with their parts.
+    """
+    pair = lambda x, y: F.struct(x.cast("long").alias("a"), y.cast("long").alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(pair(p["b"], p["a"] % F.nullif(p["b"], F.lit(0).cast("long"))))
+    g = F.nullif(F.aggregate(F.sequence(F.lit(1), F.lit(EUCLID_STEPS)), pair(F.abs(num), F.abs(den)), step, lambda p: p["a"]), F.lit(0).cast("long"))
+    # integer division: no detour by doubles
+    return F.struct(F.call_function("div", num, g).alias("num"), F.call_function("div", den, g).alias("den"))
 
 
 def text_format(c: Column | str) -> Column:

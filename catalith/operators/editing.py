@@ -40,10 +40,11 @@ def import_unique(items: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def translated(values: DataFrame, dim: DataFrame) -> DataFrame:
-    """values (asset_id, name, value) as datasets, cut to the bytes that the target holds."""
-    j = values.join(dim, "name")
+    """values (asset_id, name, value) as datasets. A value of more bytes than the target holds is refused: status too_long and no value."""
+    j = values.join(F.broadcast(dim), "name")  # as many rows as MAPPING
     size = F.octet_length("value").cast("long")
-    return j.select("asset_id", "name", "dataset", "value", size.alias("bytes"), F.when(size > F.col("max_bytes"), "truncate").otherwise("fits").alias("status"))
+    status = F.when(size > F.col("max_bytes"), "too_long").otherwise("fits")
+    return j.select("asset_id", "name", "dataset", F.when(size <= F.col("max_bytes"), F.col("value")).alias("value"), size.alias("bytes"), status.alias("status"))
 
 
 def reconciled(by_family: DataFrame, families: list[str], policy: str = "priority") -> DataFrame:

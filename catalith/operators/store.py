@@ -69,7 +69,8 @@ def commit(base: DataFrame, edits: DataFrame, max_entries: int | None = None) ->
     """Apply edits (asset_id, seq, op in add/set/tombstone, target_id, v_double) to base (asset_id, entry_id, v_double, flags).
 
     Set replaces the value and marks it dirty; tombstone marks deleted and dirty; adds get the next ids in seq order.
-    With max_entries, an asset whose commit would exceed it keeps its base unchanged.
+    With max_entries, an asset whose commit would exceed it keeps its base unchanged. An asset without base entries gets
+    what is added, numbered from 0.
     """
     change = edits.where("op <> 'add'").groupBy("asset_id", F.col("target_id").alias("entry_id")).agg(
         F.max_by("v_double", F.when(F.col("op") == "set", F.col("seq"))).alias("new_v"), F.max(F.col("op") == "set").alias("has_set"), F.max(F.col("op") == "tombstone").alias("gone")
@@ -77,8 +78,8 @@ def commit(base: DataFrame, edits: DataFrame, max_entries: int | None = None) ->
     sizes = base.groupBy("asset_id").agg(F.count("*").alias("size"), F.max("entry_id").alias("last"))
     adds = edits.where("op = 'add'").withColumn("k", F.row_number().over(Window.partitionBy("asset_id").orderBy("seq")))
     n_adds = adds.groupBy("asset_id").agg(F.count("*").alias("adds"))
-    ok = F.lit(True) if max_entries is None else F.col("size") + F.coalesce("adds", F.lit(0)) <= max_entries
-    allowed = sizes.join(n_adds, "asset_id", "left").select("asset_id", "last", ok.alias("ok"))
+    ok = F.lit(True) if max_entries is None else F.coalesce("size", F.lit(0)) + F.coalesce("adds", F.lit(0)) <= max_entries
+    allowed = sizes.join(n_adds, "asset_id", "full_outer").select("asset_id", F.coalesce("last", F.lit(-1)).alias("last"), ok.alias("ok"))
     changed = base.join(change, ["asset_id", "entry_id"], "left").join(allowed, "asset_id")
     apply = F.col("ok") & (F.coalesce("has_set", F.lit(False)) | F.coalesce("gone", F.lit(False)))
     old = changed.select(

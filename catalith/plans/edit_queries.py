@@ -77,12 +77,12 @@ def _descriptive(spark, d):
 _MAP = """m AS (SELECT doc_id AS asset_id, 'source' AS name, 115 AS dataset, 32 AS cap, source AS value FROM documents UNION ALL SELECT doc_id, 'country_code', 100, 3, lang || '-x' FROM documents UNION ALL SELECT doc_id, 'description', 120, 2000, text FROM documents)"""
 
 
-@query("translate_map", f"WITH {_MAP} SELECT asset_id, name, CAST(dataset AS INTEGER) AS dataset, value FROM m")
+@query("translate_map", f"WITH {_MAP} SELECT asset_id, name, CAST(dataset AS INTEGER) AS dataset, CASE WHEN strlen(value) <= cap THEN value END AS value FROM m")
 def translate_map(spark, d):
     return editing.translated(_descriptive(spark, d), editing.mapping(spark)).select("asset_id", "name", "dataset", "value")
 
 
-@query("translate_truncate_check", f"WITH {_MAP} SELECT name, CASE WHEN strlen(value) > cap THEN 'truncate' ELSE 'fits' END AS status, count(*) AS n, CAST(max(strlen(value)) AS BIGINT) AS longest FROM m GROUP BY ALL")
+@query("translate_truncate_check", f"WITH {_MAP} SELECT name, CASE WHEN strlen(value) > cap THEN 'too_long' ELSE 'fits' END AS status, count(*) AS n, CAST(max(strlen(value)) AS BIGINT) AS longest FROM m GROUP BY ALL")
 def translate_truncate_check(spark, d):
     return editing.translated(_descriptive(spark, d), editing.mapping(spark)).groupBy("name", "status").agg(F.count("*").alias("n"), F.max("bytes").alias("longest"))
 
@@ -107,13 +107,18 @@ def reconcile_fail_conflict(spark, d):
     return editing.reconciled(_families(spark, d), ["iptc", "xmp"], "fail")
 
 
-@query("decode_iptc", "SELECT doc_id AS asset_id, 0 AS order_in_block, 2 AS record, 115 AS dataset, source AS v_text FROM documents UNION ALL SELECT doc_id, 1, 2, 25, lang FROM documents UNION ALL SELECT doc_id, 2, 2, 120, text FROM documents WHERE strlen(text) < 32768")
+@query("decode_iptc", "SELECT doc_id AS asset_id, 0 AS order_in_block, 2 AS record, 115 AS dataset, source AS v_text FROM documents UNION ALL SELECT doc_id, 1, 2, 25, lang FROM documents UNION ALL SELECT doc_id, 2, 2, 120, text FROM documents")
 def decode_iptc(spark, d):
     """Fields of documents written as dataset records and decoded again."""
     docs = table(spark, d, "documents")
-    rec = lambda ds, c: F.concat(F.unhex(F.concat(F.lit("1C02"), F.lpad(F.hex(F.lit(ds)), 2, "0"), F.lpad(F.hex(F.octet_length(c)), 4, "0"))), c.cast("binary"))
-    text = F.when(F.octet_length("text") < 32768, rec(120, F.col("text"))).otherwise(F.lit(b""))
-    raw = docs.select(F.col("doc_id").alias("asset_id"), F.concat(rec(115, F.col("source")), rec(25, F.col("lang")), text).alias("content"))
+
+    def rec(ds: int, c):
+        size = F.octet_length(c)
+        # two bytes of length, or, from 32768 on, the extended form: how many bytes the length has, then the length
+        length = F.when(size < 32768, F.lpad(F.hex(size), 4, "0")).otherwise(F.concat(F.lit("8004"), F.lpad(F.hex(size), 8, "0")))
+        return F.concat(F.unhex(F.concat(F.lit(f"1C02{ds:02X}"), length)), c.cast("binary"))
+
+    raw = docs.select(F.col("doc_id").alias("asset_id"), F.concat(rec(115, F.col("source")), rec(25, F.col("lang")), rec(120, F.col("text"))).alias("content"))
     return decoders.decoded(raw, "iptc").select("asset_id", "order_in_block", "record", "dataset", F.decode("v_bytes", "UTF-8").alias("v_text"))
 
 

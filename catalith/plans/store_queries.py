@@ -137,7 +137,7 @@ def value_text(spark, d):
   CAST(CAST(round(l_discount * 100) AS BIGINT) // gcd(CAST(round(l_discount * 100) AS BIGINT), 100) AS BIGINT) AS num, CAST(100 // gcd(CAST(round(l_discount * 100) AS BIGINT), 100) AS BIGINT) AS den FROM lb""")
 def rational_text(spark, d):
     n = F.round(F.col("l_discount") * 100).cast("long")
-    r = T.reduced(n, F.lit(100).cast("long"), 100)
+    r = T.reduced(n, F.lit(100).cast("long"))
     return B.line_blocks(spark, d).select(F.col("l_orderkey").alias("asset_id"), "block_id", T.ratio_text(n, F.lit(100)).alias("rational"), r["num"].alias("num"), r["den"].alias("den"))
 
 
@@ -190,10 +190,10 @@ def graph_degree(spark, d):
     return graph.typed_degrees(e)
 
 
-@query("graph_linked_roles", """WITH e AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t, l_linestatus AS r FROM lineitem WHERE l_linenumber <= 2)
+@query("graph_linked_roles", """WITH e AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t, l_linestatus AS r FROM lineitem)
   SELECT a.t AS primary_id, b.r AS role, count(DISTINCT b.t) AS linked FROM e a JOIN e b ON a.f = b.f AND a.t <> b.t GROUP BY ALL""")
 def graph_linked_roles(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_linestatus").alias("ref_type"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_linestatus").alias("ref_type"))
     return graph.linked_roles(e)
 
 

@@ -71,6 +71,10 @@ def png(b: bytes) -> Iterator[dict]:
             if packed:
                 d = zlib.decompressobj()
                 rest = d.decompress(rest, INFLATE_LIMIT)
+                if d.unconsumed_tail:  # more than a row may hold: no part of it passes for the whole
+                    yield {"key_kind": "png_text", "name": key.decode("latin-1"), "status": "too_long"}
+                    at += 12 + n
+                    continue
             yield {"key_kind": "png_text", "name": key.decode("latin-1"), "v_text": rest.decode(code, "replace")}
         at += 12 + n
 

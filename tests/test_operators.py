@@ -32,6 +32,10 @@ def test_commit_rolls_back_over_the_limit(spark):
     edits = spark.createDataFrame([(1, 1, "add", None, 9.0), (1, 2, "set", 0, 5.0), (2, 1, "set", 0, 6.0)], "asset_id long, seq int, op string, target_id long, v_double double")
     assert rows(store.commit(base, edits)) == [(1, 0, 5.0, 2), (1, 1, 9.0, 2), (2, 0, 6.0, 2)]
     assert rows(store.commit(base, edits, max_entries=1)) == [(1, 0, 1.0, 0), (2, 0, 6.0, 2)]
+    # an asset without base entries
+    adds = spark.createDataFrame([(7, 2, "add", None, 3.0), (7, 1, "add", None, 4.0)], edits.schema)
+    assert rows(store.commit(base.where("false"), adds)) == [(7, 0, 4.0, 2), (7, 1, 3.0, 2)]
+    assert rows(store.commit(base.where("false"), adds, max_entries=1)) == []
 
 
 @pytest.mark.parametrize(("kind", "row", "want"), [
@@ -77,7 +81,7 @@ def test_dates(spark):
 
 def test_rational_keeps_zero_denominator_text_and_reduces(spark):
     df = spark.createDataFrame([(50, 100), (0, 100), (7, 100)], "n long, d long")
-    assert [tuple(r[0]) for r in df.select(text.reduced(F.col("n"), F.col("d"), 100)).collect()] == [(1, 2), (0, 1), (7, 100)]
+    assert [tuple(r[0]) for r in df.select(text.reduced(F.col("n"), F.col("d"))).collect()] == [(1, 2), (0, 1), (7, 100)]
 
 
 def test_conflicts_and_preferred(spark):
