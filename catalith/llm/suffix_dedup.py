@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from catalith.llm.common import Rolling, checkpointed, doc_key, partitions, text_steps, window_min
 
 LENGTH = 200
-#: Bytes of the strings whose hashes deal out the passages; the next where a hash has more than CROWD distinct segments.
+#: Bytes of the strings whose hashes deal out the passages; the next where a hash has more than CROWD distinct segments
+#: (of at most 376 bytes each, so that the suffix arrays of one hash take about 100 MB).
 KS = (24, 72, 136, 200)
-CROWD = 1500
+CROWD = 6000
 #: Suffixes sorted at once.
 BATCH = 1 << 15
 
@@ -249,10 +250,13 @@ def _matched(segs: DataFrame, bodies: DataFrame, ks: tuple[int, ...], length: in
     segs: key, seg, c (places), own, m (distinct segments of the key); bodies: key, seg, m, body.
     """
     twice = segs.where("c > 1").select("key", "seg", F.lit(0).alias("a"), F.col("n").alias("b"))
+    crowded = bool(ks) and not segs.where(F.col("m") > crowd).isEmpty()
+    if crowded:  # read more than once
+        bodies = checkpointed(bodies)
     n = partitions(segs.sparkSession)
-    few = bodies.where(F.col("m") <= crowd).select("key", "seg", "body").repartition(n, "key").sortWithinPartitions("key", "seg")
+    few = bodies.where((F.col("m") <= crowd) | F.lit(not ks)).select("key", "seg", "body").repartition(n, "key").sortWithinPartitions("key", "seg")
     out = twice.unionAll(few.mapInArrow(_matches(length), "key long, seg long, a int, b int"))
-    if segs.where((F.col("m") > crowd) & (F.lit(len(ks)) > 0)).isEmpty():
+    if not crowded:
         return out
     many = bodies.where(F.col("m") > crowd).select(F.col("key").alias("did"), F.col("seg").alias("th"), F.col("body").alias("text"))
     inner = repeated_runs(many, many.mapInArrow(_again(length, ks[0]), _RUNS), ks[1:], length, crowd)
