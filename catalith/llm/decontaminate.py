@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bound, checkpointed, doc_key
+from catalith.llm.common import NULL_ID, bound, checkpointed, doc_key
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
@@ -69,8 +69,11 @@ def windows(df: DataFrame, n: int = WINDOW, bits: Column | None = None, openly:
 
     def picked(t: Column, has: Column, c: Column, h: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
-        if bits is not None:
-            at = F.filter(at, lambda i: bound(_pair(h, i), lambda p: F.getbit(F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1))
+        if bits is not None:  # a pair's bit, or -1 where it isn't in the filter
+            low = lambda a, b: (a * 31 + b).bitwiseAND(F.lit(2**FILTER_BITS - 1).cast("long"))
+            inside = lambda p: F.getbit(F.element_at(bits, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            ones = F.transform(F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - (n - 1), F.lit(0))), low), inside)
+            at = bound(ones, lambda o: F.filter(at, lambda i: F.element_at(o, i) == 1))
         value = lambda x: F.when(x.startswith("\x01"), F.substring(x, 3, 2**30)).otherwise(F.lit(""))
         return F.transform(at, lambda i: F.struct(
             F.xxhash64(F.slice(c, i, n)).alias("h"), (i - 1).alias("pos"), _pair(h, i).alias("b"), F.when(has, F.array_join(F.transform(F.slice(t, i, n), value), "\x02")).alias("s")
@@ -102,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverag
     Windows count once for each place in the item. Slots of a diagonal (one placing of the item in the document) are
     consistent if no item value stands for two document values. Items of fewer than n template tokens can't be told from
     chance and match nothing; null texts have no tokens; repeated rows of one doc_id and text count as one; null doc_ids
-    are identified by their text; null item_ids are kept as an item of their own; other columns are ignored.
+    are identified by their text (did is NULL_ID; the query gives null); null item_ids are kept as an item of their own; other columns are ignored.
     """
     bench = readings(benchmark.select("item_id", "text").distinct(), n)
     bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "h", F.col("pos").alias("bpos"), F.col("s").alias("bs"), "b", F.col("open").alias("bopen"))
@@ -132,4 +135,4 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document that holds an item of the benchmark, with the item."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     got = contaminated(docs, bench)
-    return got.select(F.col("did").alias("doc_id"), "item_id", "item_windows", "matched", "coverage", "slots_changed")
+    return got.select(F.nullif("did", F.lit(NULL_ID)).alias("doc_id"), "item_id", "item_windows", "matched", "coverage", "slots_changed")
