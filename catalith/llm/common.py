@@ -25,11 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the cluster's spark.checkpoint.dir; a folder of our own only in local mode, where driver and tasks are one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    home = sc.getConf().get("spark.checkpoint.dir")
+    if not home and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(home or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -88,35 +88,35 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CEL
     text = F.col("text")
     full = base.withColumns({
         "size": text_size(text), "text_crc32": F.crc32(text.cast("binary")),
-        "_h": F.coalesce(F.xxhash64(text, F.octet_length(text)), F.lit(0)), "_t": count_words(text),
-        "_r": F.coalesce(F.xxhash64(F.col("doc_id"), text), F.lit(0)),
+        "__shard_h": F.coalesce(F.xxhash64(text, F.octet_length(text)), F.lit(0)), "__shard_t": count_words(text),
+        "__shard_r": F.coalesce(F.xxhash64(F.col("doc_id"), text), F.lit(0)),
     })
     cells = shards * cells_per_shard
-    slim = checkpointed(full.select("doc_id", "size", "_h", "_t", "_r"))
+    slim = checkpointed(full.select("doc_id", "size", "__shard_h", "__shard_t", "__shard_r"))
     total = slim.agg(F.sum("size")).first()[0] or 0
     most = max(1.0, total / shards * piece)
-    groups = slim.groupBy("_h").agg(F.sum("size").alias("gb"))
+    groups = slim.groupBy("__shard_h").agg(F.sum("size").alias("gb"))
     # groups above piece of a shard: at most shards / piece of them
-    large = groups.where(F.col("gb") > most).select("_h", F.ceil(F.col("gb") / most).cast("long").alias("_k"))
-    known = {r["_h"]: r["_k"] for r in large.collect()}
+    large = groups.where(F.col("gb") > most).select("__shard_h", F.ceil(F.col("gb") / most).cast("long").alias("__shard_k"))
+    known = {r["__shard_h"]: r["__shard_k"] for r in large.collect()}
     if known:
         by = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-        pieces = F.coalesce(F.try_element_at(by, F.col("_h")), F.lit(1).cast("long"))
+        pieces = F.coalesce(F.try_element_at(by, F.col("__shard_h")), F.lit(1).cast("long"))
     else:
         pieces = F.lit(1).cast("long")
-    cell = F.pmod(F.xxhash64("_h", F.pmod(F.col("_r"), pieces)), F.lit(cells)).cast("int").alias("_cell")
-    loads = slim.withColumn("_cell", cell).groupBy("_cell").agg(F.sum("size").alias("b"), F.sum("_t").alias("t"), F.count("*").alias("n")).orderBy("_cell").collect()
+    cell = F.pmod(F.xxhash64("__shard_h", F.pmod(F.col("__shard_r"), pieces)), F.lit(cells)).cast("int").alias("__shard_cell")
+    loads = slim.withColumn("__shard_cell", cell).groupBy("__shard_cell").agg(F.sum("size").alias("b"), F.sum("__shard_t").alias("t"), F.count("*").alias("n")).orderBy("__shard_cell").collect()
     vec = np.array([[r.b, r.t, r.n] for r in loads], float).reshape(-1, 3)
     where = place(vec, shards) if len(vec) else np.zeros(0, int)
     start, rows = np.zeros(shards, np.int64), []
     for r, s in zip(loads, where, strict=True):
-        rows.append((r._cell, int(s), int(start[s])))
+        rows.append((r["__shard_cell"], int(s), int(start[s])))
         start[s] += r.n
-    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "_cell int, shard int, _from long"))
-    within = Window.partitionBy("_cell").orderBy(F.asc_nulls_first("doc_id"), "_h", "_r", "size")
-    placed = full.withColumn("_cell", cell).withColumn("_n", F.row_number().over(within)).join(plan, "_cell")
+    plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "__shard_cell int, shard int, __shard_from long"))
+    within = Window.partitionBy("__shard_cell").orderBy(F.asc_nulls_first("doc_id"), "__shard_h", "__shard_r", "size")
+    placed = full.withColumn("__shard_cell", cell).withColumn("__shard_n", F.row_number().over(within)).join(plan, "__shard_cell")
     return placed.select(
-        *[c for c in base.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_from") + F.col("_n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        *[c for c in base.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__shard_from") + F.col("__shard_n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
