@@ -351,6 +351,16 @@ def test_decontaminate_templates_and_slots(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    items = [(0, "What is 3 plus 4?"), (1, "Yes."), (2, "..."), (3, None), (None, "Name the last king")]
+    texts = ["first\nwhat is 3 plus 4\nlast", "What is 5 plus 4?", "yes", "Yes.\nno", "He asked what is 3 plus 4 and left.", "Name  the LAST king!", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (7, "x\n" * 5000 + "What is 3 plus 4?")], "doc_id long, text string").withColumn("item_id", F.lit(9)).withColumn("key", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
+    got = sorted((r.did, r.item_id, r.coverage) for r in decontaminate.contaminated(docs, bench).collect() if r.item_id is not None)
+    assert got == [(0, 0, 1.0), (2, 1, 1.0), (7, 0, 1.0)]
+    assert {r.did for r in decontaminate.contaminated(docs, bench).collect() if r.item_id is None} == {5}
+
+
 def test_lm_score(docs):
     got = lm_score.score(docs).collect()
     toks = [(i, WS.findall(t.translate(LOWER)) + [None], i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in texts(docs)]
