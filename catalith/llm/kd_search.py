@@ -61,7 +61,10 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: n
     Leaves are visited in rings: the next unvisited leaf of every open query, ordered by its bound; a query closes when
     its best remaining bound is below its kth score.
     """
-    # integer products and sums below 2**53 are exact in double
+    # integer products and sums below 2**53 are exact in double; larger ones are told apart as whole numbers
+    most = np.abs(q).max(initial=0) * np.abs(tree["x"]).max(initial=0) * q.shape[1]
+    if most >= 2**53:
+        return _search_whole(tree, qid, q, floor, k)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     bound = up @ tree["hi"].T + down @ tree["lo"].T
     order = np.argsort(-bound, axis=1, kind="stable")
@@ -96,6 +99,29 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: n
     return row, best_id[row, col], best[row, col].astype(np.int64)
 
 
+def _search_whole(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """search by whole numbers of any size, one query after another; a score outside long can't be returned."""
+    whole = lambda a: np.array([[int(v) for v in r] for r in a], object)
+    lo, hi, own = whole(tree["lo"]), whole(tree["hi"]), whole(q)
+    rows, ids, scores = [], [], []
+    for i, v in enumerate(own):
+        box = np.where(v > 0, hi * v, lo * v).sum(1)
+        best: list[tuple[int, int]] = []
+        for leaf in sorted(range(len(box)), key=lambda j: -box[j]):
+            # the kth score travels as a double: stay below it by its rounding
+            if box[leaf] < floor[i] - abs(floor[i]) * 2.0**-50 or (len(best) == k and box[leaf] < -best[-1][0]):
+                break
+            at = slice(tree["first"][leaf], tree["first"][leaf] + tree["size"][leaf])
+            got = zip((whole(tree["x"][at]) * v).sum(1), tree["ids"][at], strict=True)
+            best = sorted([*best, *((-s, int(d)) for s, d in got if d != qid[i])])[:k]
+        rows += [i] * len(best)
+        ids += [d for _, d in best]
+        scores += [-s for s, _ in best]
+    if any(abs(s) >= 2**63 for s in scores):
+        raise OverflowError("an inner product is outside the range of long")
+    return np.array(rows, np.int64), np.array(ids, np.int64), np.array(scores, np.int64)
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_list()).astype(np.float64)
 
@@ -133,8 +159,8 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, shard_rows: int
     vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every. Vectors that are null or hold a
     null or non-finite component, empty vectors and null vec_ids take no part; vectors are compared with those of the
     same length; a query's own vec_id is never its candidate, on repeated rows either; each repeated row is a candidate
-    of its own; of several query rows with one vec_id the smallest vector asks. Scores are exact integers. No rows, or
-    a single row, give an empty result.
+    of its own; of several query rows with one vec_id the smallest vector asks. Scores are exact integers (components
+    below 2**53 in size once scaled; a score outside long is an error). No rows, or a single row, give an empty result.
     """
     x = vectors.select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding")).alias("x")).where("id is not null and x is not null and size(x) > 0")
     x = x.withColumn("dim", F.size("x"))

@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.llm.common import arrow_texts
 
 HIDDEN = 10
 CHUNK = 64
-#: The bounded sample: documents for each language, bytes of each, and languages at most.
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGS = 160, 1024, 64
+#: The bounded sample: documents for each language, bytes of each in so many stretches, and the languages up to which
+#: each gets its full number of documents; with more, all are learned from fewer documents each.
+SAMPLE_DOCS, SAMPLE_BYTES, PIECES, SAMPLE_LANGS = 160, 1024, 4, 64
 EPOCHS, BATCH, RATE, SEED = 3, 128, 0.02, 7
 UNKNOWN = "und"
 
@@ -173,19 +174,24 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Train on a bounded sample of the rows that are not held out and have a language: by a hash of the document, about
-    docs_per_lang of each of the MAX_LANGS most frequent languages, sample_bytes of each text."""
+    """Train on a bounded sample of the rows that are not held out and have a language, of every language there is: by a
+    hash of the document about docs_per_lang of each (fewer above SAMPLE_LANGS languages), and of each text sample_bytes
+    in PIECES stretches spread over the whole of it."""
     rows = docs.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return initial(1), [UNKNOWN]
+    each = max(1, min(docs_per_lang, docs_per_lang * SAMPLE_LANGS // len(counts)))
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40))
-    pick = None
-    for c in counts:
-        one = (F.col("lang") == c["lang"]) & (h < int(2**40 * min(1.0, 1.5 * docs_per_lang / c["count"])))
-        pick = one if pick is None else pick | one
-    cut = F.expr(f"substring(cast(text as binary), 1, {sample_bytes})").alias("text")
-    got = rows.where(pick).select("lang", h.alias("h"), cut).orderBy("h", "lang", "text").limit(2 * docs_per_lang * len(counts)).collect()
+    # a language of few rows gives all of them; rows that repeat share a hash and come together
+    shares = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], int(2**40 * min(1.0, (1.5 * each + 8) / c["count"])))])
+    near = rows.withColumn("h", h).where(F.col("h") < F.element_at(shares, F.col("lang")))
+    size = F.octet_length("text")
+    piece = sample_bytes // PIECES
+    stretch = lambda i: F.substring(F.col("text").cast("binary"), (F.floor((size - piece) * i / (PIECES - 1)) + 1).cast("int"), F.lit(piece))
+    cut = F.when(size <= sample_bytes, F.col("text").cast("binary")).otherwise(F.concat(*[stretch(i) for i in range(PIECES)]))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    got = near.select("lang", "h", cut.alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * each).orderBy("h", "lang", "text").collect()
     return train([bytes(g["text"]) for g in got], [g["lang"] for g in got])
 
 

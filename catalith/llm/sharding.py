@@ -22,6 +22,8 @@ PIECE = 1 / 4
 OVERHEAD = 16
 #: Bytes are what the law holds; tokens and rows follow as far as they can.
 WEIGHTS = (4.0, 1.0, 1.0)
+#: Difference of the fullest and the emptiest shard's bytes, as a part of the mean, that ends the evening out.
+TOLERANCE = 1e-4
 
 
 def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -39,13 +41,15 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
 
 
 def _evened(size: np.ndarray, out: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
-    """Move or exchange single items between the fullest and the emptiest shard while that brings bytes closer."""
+    """Move or exchange single items between the fullest and the emptiest shard until bytes are within TOLERANCE, and no
+    further: each move costs some of the balance of tokens and rows."""
     load = np.bincount(out, size, shards)
+    near = max(1.0, load.mean() * TOLERANCE)
     for _ in range(rounds):
         a, b = int(load.argmax()), int(load.argmin())
         gap = load[a] - load[b]
         here, there = np.flatnonzero(out == a), np.flatnonzero(out == b)
-        if gap <= 1 or not len(here):
+        if gap <= near or not len(here):
             break
         own = size[here]
         move = int(np.argmin(np.abs(own - gap / 2)))
@@ -75,13 +79,14 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CELLS_PER_SHARD, piece: float = PIECE) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CELLS_PER_SHARD, piece: float = PIECE, carry_text: bool = True) -> DataFrame:
     """Every row of docs with the columns size, text_crc32, law, shard, slot and grown_shard.
 
     The law is 'bytes': sizes of the shards near equal, as near as the largest single row allows. Equal texts stay
     together unless their group exceeds PIECE of a shard; null texts are one such group of size 16 a row, with a null
     text_crc32. Repeated rows get slots of their own; a null doc_id sorts first; the other columns of docs are carried
-    (those named like the new ones are replaced); an empty table gives an empty result. Slots follow (cell, doc_id).
+    (those named like the new ones are replaced; without carry_text, text is not); an empty table gives an empty result.
+    Slots follow (cell, doc_id). A large group is cut by the rows' numbers in the table as read, whatever their doc_ids.
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     base = docs.drop(*[c for c in docs.columns if c.lower() in new])
@@ -89,10 +94,11 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CEL
     full = base.withColumns({
         "size": text_size(text), "text_crc32": F.crc32(text.cast("binary")),
         "__shard_h": F.coalesce(F.xxhash64(text, F.octet_length(text)), F.lit(0)), "__shard_t": count_words(text),
-        "__shard_r": F.coalesce(F.xxhash64(F.col("doc_id"), text), F.lit(0)),
+        "__shard_r": F.monotonically_increasing_id(),
     })
     cells = shards * cells_per_shard
-    slim = checkpointed(full.select("doc_id", "size", "__shard_h", "__shard_t", "__shard_r"))
+    # written once, so that a row keeps its number
+    full = slim = checkpointed(full if carry_text else full.drop("text"))
     total = slim.agg(F.sum("size")).first()[0] or 0
     most = max(1.0, total / shards * piece)
     groups = slim.groupBy("__shard_h").agg(F.sum("size").alias("gb"))
@@ -116,11 +122,11 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CEL
     within = Window.partitionBy("__shard_cell").orderBy(F.asc_nulls_first("doc_id"), "__shard_h", "__shard_r", "size")
     placed = full.withColumn("__shard_cell", cell).withColumn("__shard_n", F.row_number().over(within)).join(plan, "__shard_cell")
     return placed.select(
-        *[c for c in base.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__shard_from") + F.col("__shard_n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        *[c for c in base.columns if carry_text or c.lower() != "text"], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__shard_from") + F.col("__shard_n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents dealt into 40 shards of near-equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard_rows(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard_rows(docs, carry_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -397,3 +397,46 @@ def test_empty_tables(spark, fn):
 
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_sharding_cuts_a_crowd_of_equal_rows(spark):
+    rows = [(None, "same " * 20)] * 400 + [(7, "again " * 20)] * 400 + [(i, f"text {i} " * 10) for i in range(400)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, carry_text=False)
+    assert got.count() == len(rows) and "text" not in got.columns
+    load = [r.b for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 4 and max(load) - min(load) <= 0.02 * sum(load) / 4
+
+
+def test_packing_keeps_bytes_tokens_and_rows_even():
+    r = np.random.default_rng(1)
+    v = np.stack([r.integers(50, 4000, 2000), r.integers(5, 700, 2000), r.integers(1, 5, 2000)], 1).astype(float)
+    at = sharding.place(v, 8)
+    for k, off in ((0, 2e-4), (1, 0.05), (2, 0.05)):
+        load = np.bincount(at, v[:, k], 8)
+        assert load.max() - load.min() <= off * load.mean(), k
+
+
+def test_kd_search_beyond_double(spark):
+    rows = [(i, [1e6 + i * 0.25, -1e6 + (i * 7 % 5), float(i)]) for i in range(60)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in kd_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=16).collect())
+    x = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert max(abs(w[3]) for w in want) > 2**53 and got == want
+
+
+def test_language_sample_learns_every_language_from_all_of_a_text(spark):
+    rows = [(8 * i + j, " " * 4000 + f"{chr(97 + j % 26)}{chr(97 + j // 26)} " * 400, f"l{j:02}") for i in range(2) for j in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    train = language_id.train
+    try:
+        language_id.train = lambda texts, langs: seen.append((texts, langs))
+        language_id.fit(docs)
+    finally:
+        language_id.train = train
+    texts, langs = seen[0]
+    kept = {r.lang for r in docs.where(~language_id.is_held_out(F.col("doc_id"))).collect()}
+    assert set(langs) == kept and len(kept) > 64 and all(len(t) == 1024 and t.strip() for t in texts)
