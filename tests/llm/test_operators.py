@@ -371,6 +371,13 @@ def test_lm_score(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_lm_blocks_follow_the_bytes(docs):
+    part = sum(len((t or "").encode()) for _, t in texts(docs)) // 11
+    assert lm_score.block_count(docs, 1 << 40) == common.partitions(docs.sparkSession) < lm_score.block_count(docs, part) <= 12
+    one, many = ({(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_score.score(docs, block_bytes=b).collect()} for b in (1 << 40, part))
+    assert one == many
+
+
 def test_lm_beats_its_base(spark, sf):
     held = [r for r in lm_score.score(common.documents(spark, sf)).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
