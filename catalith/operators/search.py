@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.text import normalised_name
 
-#: Distinct names scored by one call in a task.
+#: Kinds of a hit, best first at equal scores.
 _KINDS = ("exact", "alias", "fuzzy")
+#: Scores of a phrase and of an alias found in a name; similarity alone never reaches the latter.
+EXACT, ALIAS, MOST_SIMILAR = 100.0, 96.0, 95.0
+#: Characters told apart when names are ruled out by their letter counts.
+_LETTERS = 128
 
 
 def query_status(q: str, least: int, k: int) -> str:
@@ -61,11 +66,56 @@ def exact_and_alias(names: DataFrame, queries: DataFrame, aliases: DataFrame) ->
     return hit.groupBy("query", "id").agg(F.max_by(F.struct("score", "kind"), "score").alias("b")).select("query", "id", "b.score", "b.kind")
 
 
-def _similar(queries: list[str], least: float):
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """[texts, letters] how often each character comes; names are ASCII after normalisation."""
+    data = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(row * _LETTERS + data, minlength=len(texts) * _LETTERS).reshape(-1, _LETTERS).astype(np.int32)
+
+
+def similar_names(names: list[str], query: str, least: float) -> dict[int, float]:
+    """Place -> best window ratio of the names that reach least.
+
+    A common subsequence uses no letter more often than both texts have it, so the letter counts bound the ratio; only
+    runs whose bound reaches least are compared in full.
+    """
+    n = len(query.split())
+    runs: dict[str, list[int]] = {}
+    for at, name in enumerate(names):
+        words = name.split()
+        for r in {name, *(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))}:
+            runs.setdefault(r, []).append(at)
+    texts = list(runs)
+    if not texts:
+        return {}
+    size = np.array([len(t) for t in texts]) + len(query)
+    shared = np.minimum(_letter_counts(texts), _letter_counts([query])).sum(1)
+    out: dict[int, float] = {}
+    for i in np.flatnonzero(200.0 * shared >= (least - 1e-6) * size):
+        s = round(indel_ratio(query, texts[i]), 6)
+        if s >= least:
+            for at in runs[texts[i]]:
+                out[at] = max(out.get(at, 0.0), s)
+    return out
+
+
+def _hits(queries: list[str], aliases: list[tuple[str, str]], least: float):
+    terms = [(q, f" {q} ", 0, EXACT) for q in queries] + [(q, f" {a} ", 1, ALIAS) for q, a in aliases if q in queries]
+
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(q, n, s) for n in b.norm for q in queries if (s := round(best_window_ratio(q, n), 6)) >= least]
-            yield pd.DataFrame(rows, columns=["query", "norm", "score"])
+            place, names = pd.factorize(b.norm)
+            names = list(names)
+            best: dict[tuple[str, int], tuple[float, int]] = {}
+            for q in queries:
+                best.update({(q, at): (min(s, MOST_SIMILAR), 2) for at, s in similar_names(names, q, least).items()})
+            for at, name in enumerate(names):
+                padded = f" {name} "
+                for q, term, kind, s in terms:
+                    if term in padded:
+                        best[q, at] = max(best.get((q, at), (0.0, 9)), (s, kind), key=lambda x: (x[0], -x[1]))
+            hits = pd.DataFrame([(q, at, s, kind) for (q, at), (s, kind) in best.items()], columns=["query", "at", "score", "kind"])
+            yield pd.DataFrame({"id": b.id.array, "at": place}).merge(hits, on="at")[["query", "id", "score", "kind"]]
 
     return step
 
@@ -73,21 +123,14 @@ def _similar(queries: list[str], least: float):
 def fuzzy_top_k(entries: DataFrame, name: str, queries: list[str], aliases: list[tuple[str, str]] = (), least: int = 80, k: int = 8) -> DataFrame:
     """query, rank, id, score, kind: the k best names of each stated query; score, then kind, then id decide.
 
-    entries: id and name. Queries that break a contract are left out (see query_status). Distinct names are scored once,
-    in Arrow batches, and the scores joined back; the k best are cut within each task before they are shuffled.
+    entries: id and name; a null or empty name is never found. Queries that break a contract are left out (see
+    query_status). Names are scored where they are read, once in an Arrow batch however often they come; each task cuts
+    its hits to the k best before they are shuffled, so the names themselves never move.
     """
-    spark = entries.sparkSession
     good = list(dict.fromkeys(" ".join("".join(c if c.isalnum() else " " for c in q).lower().split()) for q in queries if query_status(q, least, k) == "ok"))
     named = entries.select("id", normalised_name(name).alias("norm")).where("norm <> ''")
-    distinct = named.select("norm").distinct()
-    scored = distinct.mapInPandas(_similar(good, least), "query string, norm string, score double").withColumn("kind", F.lit("fuzzy"))
-    own = distinct.select(F.col("norm").alias("id"), "norm")
-    qs = spark.createDataFrame([(q,) for q in good], "query string")
-    al = spark.createDataFrame(list(aliases), "query string, alias string")
-    direct = exact_and_alias(own, qs, al).select("query", F.col("id").alias("norm"), "score", "kind")
-    order = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "alias", 1).otherwise(2)
-    # similarity alone never reaches an alias's score
-    fuzzy = scored.withColumn("score", F.least("score", F.lit(95.0)))
-    best = direct.unionByName(fuzzy.select("query", "norm", "score", "kind")).groupBy("query", "norm").agg(F.max_by(F.struct("score", "kind"), F.struct("score", -order)).alias("b")).select("query", "norm", "b.*")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), order, "id")
-    return named.join(best, "norm").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score", "kind")
+    id_type = named.schema["id"].dataType.simpleString()
+    hits = named.mapInPandas(_hits(good, list(aliases), float(least)), f"query string, id {id_type}, score double, kind int")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "kind", "id")
+    label = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), F.col("kind") + 1)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score", label.alias("kind"))

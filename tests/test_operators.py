@@ -66,6 +66,27 @@ def test_search_ranks_exact_alias_similar(spark):
     assert got[:3] == [(1, 3, 100.0, "exact"), (2, 4, 100.0, "exact"), (3, 1, 96.0, "alias")] and got[3][1] == 2 and got[3][3] == "fuzzy"
 
 
+def test_search_equals_brute_force(spark, sf):
+    """Every name against every query, by the ratio alone."""
+    part = [(r.p_partkey, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()]
+    part += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "gren gizmo"), (10**6 + 3, "Gren  Gizmo"), (10**6 + 4, "a" * 5000)]
+    e = spark.createDataFrame(part, "id long, name string")
+    queries, aliases = ["red plte", "azure gizmo", "gren gizmo"], [("azure gizmo", "blue gizmo")]
+    norm = {r.id: r.n for r in e.select("id", text.normalised_name("name").alias("n")).collect()}
+    want = []
+    for q in queries:
+        found = []
+        for i, n in norm.items():
+            if n:
+                hits = [(-min(round(search.best_window_ratio(q, n), 6), 95.0), 2)]
+                hits += [(-100.0, 0)] if f" {q} " in f" {n} " else []
+                hits += [(-96.0, 1) for k, a in aliases if k == q and f" {a} " in f" {n} "]
+                found.append((*min(hits), i))
+        want += [(q, at + 1, i, -s, ("exact", "alias", "fuzzy")[kind]) for at, (s, kind, i) in enumerate(sorted(x for x in found if -x[0] >= 60)[:8])]
+    got = [tuple(r) for r in search.fuzzy_top_k(e, "name", queries, aliases, least=60, k=8).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 8
+
+
 def test_indel_ratio():
     assert search.indel_ratio("abc", "abc") == 100 and search.indel_ratio("abc", "xyz") == 0 and search.indel_ratio("", "a") == 0
     assert search.indel_ratio("abcd", "abxd") == pytest.approx(75.0)
