@@ -8,47 +8,82 @@ from pyspark.sql import functions as F
 from catalith.functions.text import ascii_lower
 from catalith.operators.store import live
 
-# Name terms of the query kinds, the bit of each, and confidences of a bit.
+# The bits of match terms.
+TERMS = {
+    "crop": 0, "border": 1, "margin": 2, "padding": 3, "active_area": 4, "origin": 5, "offset": 6, "size": 7, "sensor": 8, "image": 9,
+    "exposure": 10, "bias": 11, "gain": 12, "white_balance": 13, "color": 14, "matrix": 15, "calibration": 16, "profile": 17,
+    "lens": 18, "correction": 19, "orientation": 20, "black_level": 21, "white_level": 22, "linearization": 23, "cfa": 24, "raw": 25,
+    "storage": 26, "source_processing": 27, "title": 28, "description": 29, "creator": 30, "keywords": 31,
+}
+# Per query kind the terms and the phrases that give them; ~ is a blank or nothing, ^ the beginning of a name.
 RULES = (
-    ("crop", "contains", "crop", 1), ("crop", "contains", "border", 2), ("crop", "contains", "margin", 2), ("crop", "contains", "padding", 2), ("crop", "contains", "active area", 4),
-    ("crop", "contains", "sensor", 8), ("crop", "contains", "image", 8), ("exposure_gain", "contains", "exposure", 1), ("exposure_gain", "contains", "gain", 2),
-    ("exposure_gain", "contains", "bias", 4), ("exposure_gain", "contains", "compensation", 4), ("white_balance", "contains", "whitebalance", 1), ("white_balance", "contains", "asshotneutral", 1),
-    ("white_balance", "contains", "colortemp", 1), ("white_balance", "prefix", "wb", 1), ("color", "contains", "matrix", 1), ("color", "contains", "calibration", 2), ("color", "contains", "profile", 4),
-    ("color", "contains", "color", 8), ("lens_correction", "contains", "lens", 1), ("lens_correction", "contains", "distort", 1), ("lens_correction", "contains", "vignet", 1),
-    ("lens_correction", "contains", "correction", 2), ("orientation", "contains", "orientation", 1), ("raw_processing", "contains", "black level", 1), ("raw_processing", "contains", "linearization", 1),
-    ("raw_processing", "contains", "cfa", 1), ("raw_processing", "contains", "raw data", 2), ("raw_processing", "contains", "strip", 2), ("descriptive", "contains", "title", 1),
-    ("descriptive", "contains", "description", 2), ("descriptive", "contains", "caption", 2), ("descriptive", "contains", "creator", 4), ("descriptive", "contains", "author", 4), ("descriptive", "contains", "keyword", 8),
+    ("crop", "crop", "crop"), ("crop", "border", "border"), ("crop", "margin", "margin"),
+    ("crop", "padding", "padding|masked~area|optical~black"), ("crop", "active_area", "active~area"), ("crop", "origin", "origin"),
+    ("crop", "offset", "offset"), ("crop", "size", "size|width|height"), ("crop", "sensor", "sensor"), ("crop", "image", "image"),
+    ("exposure_gain", "exposure", "exposure|ae~program|shutter|aperture|f~number|f-number|brightness|iso"),
+    ("exposure_gain", "bias", "bias|compensation"), ("exposure_gain", "gain", "gain"),
+    ("white_balance", "white_balance", "white~balance|asshotneutral|asshotwhitexy|colortemp|color temperature|^wb|_wb| wb"),
+    ("color", "color", "color|colour|illuminant|profile|tone~curve|creative~style|picture~style|film~simulation|dynamic range optimizer|dynamicrangeoptimizer|matrix|camera to xyz|cameratoxyz|camera to rgb|cameratorgb|ccm"),
+    ("color", "matrix", "matrix|camera to xyz|cameratoxyz|camera to rgb|cameratorgb|ccm"), ("color", "calibration", "calibration"), ("color", "profile", "profile"),
+    ("lens_correction", "lens", "lens|distort|vignet|aberration|shading|peripheral|diffraction|opcode|radial~correction|optical~correction|afmicroadj|af micro adj|microadjustment"),
+    ("lens_correction", "correction", "corr|distort|vignet|aberration|shading|opcode|afmicroadj|af micro adj|microadjustment"),
+    ("orientation", "orientation", "orientation"),
+    ("raw_processing", "black_level", "black~level|optical~black|black~mask"), ("raw_processing", "white_level", "white~level|white~clip|saturation~level"),
+    ("raw_processing", "linearization", "linearization|linearity|linear~response|raw~curve|klut"), ("raw_processing", "cfa", "cfa|bayer"),
+    ("raw_processing", "raw", "raw~data|raw~file|raw~format|raw~image|originalraw"),
+    ("raw_processing", "storage", "storage|strip|byte~count|file~offset|data~offset|data~length|compressed~data|byte~order"),
+    ("raw_processing", "sensor", "sensor|valid~bits|bit~depth|raw~depth|raw~value~range|rawvaluemedian|raw value median|masked~pixels"),
+    ("raw_processing", "source_processing", "pixel~shift|multi~shot|multi~frame|deep~fusion|smart hdr|image~fusion|creative~style|picture~style|film~simulation|dynamic range optimizer|dynamicrangeoptimizer"
+     "|active~dlighting|raw~develop|ambience|thermal|radiometric|emissivity|planck|ir~window|real2ir|real to ir|stitch|panorama|panoramic"),
+    ("descriptive", "title", "title|object~name|headline"), ("descriptive", "description", "description|caption|abstract|comment"),
+    ("descriptive", "creator", "creator|author|byline|by-line"), ("descriptive", "keywords", "keyword|subject"),
 )
+# Directories whose name alone gives a term.
+GROUP_RULES = (("crop", "sensor", "phaseone"), ("raw_processing", "sensor", "phaseone"))
+# The confidence of a kind's terms; the highest that holds counts.
 CONFIDENCES = (
-    ("crop", 1, 90), ("crop", 4, 88), ("crop", 2, 70), ("crop", 8, 45), ("exposure_gain", 1, 90), ("exposure_gain", 2, 90), ("exposure_gain", 4, 82), ("white_balance", 1, 90), ("color", 1, 94), ("color", 2, 88),
-    ("color", 4, 88), ("color", 8, 70), ("orientation", 1, 95), ("raw_processing", 1, 92), ("raw_processing", 2, 86), ("descriptive", 1, 90), ("descriptive", 2, 90), ("descriptive", 4, 90), ("descriptive", 8, 90),
+    ("crop", "crop", 90), ("crop", "active_area", 88), ("crop", "border", 70), ("crop", "margin", 70), ("crop", "padding", 70), ("crop", "sensor", 45), ("crop", "image", 45),
+    ("exposure_gain", "exposure", 90), ("exposure_gain", "gain", 90), ("exposure_gain", "bias", 82), ("white_balance", "white_balance", 90),
+    ("color", "matrix", 94), ("color", "calibration", 88), ("color", "profile", 88), ("color", "color", 70), ("orientation", "orientation", 95),
+    ("raw_processing", "black_level", 92), ("raw_processing", "white_level", 92), ("raw_processing", "linearization", 92), ("raw_processing", "cfa", 92),
+    ("raw_processing", "raw", 86), ("raw_processing", "storage", 86), ("raw_processing", "source_processing", 84), ("raw_processing", "sensor", 78),
+    ("descriptive", "title", 90), ("descriptive", "description", 90), ("descriptive", "creator", 90), ("descriptive", "keywords", 90),
 )
+LENS_BOTH, LENS_ONE = 92, 68
 
 
-def match_terms(df: DataFrame, name: str, rules: tuple = RULES) -> DataFrame:
-    """df with one row for each query kind whose rules match name: kind and terms, the bits of the rules that do.
+def bit(term: str) -> int:
+    return 1 << TERMS[term]
 
-    The rules are constants of the plan, so matching is a projection without a join.
+
+def match_terms(df: DataFrame, name: str, group: str | None = None, rules: tuple = RULES) -> DataFrame:
+    """df with one row for each query kind whose rules match name: kind and terms (long), the bits of the rules that do.
+
+    group: a column with the directory, whose name can give terms too. The rules are constants of the plan, so matching
+    is a projection without a join; a null or empty name matches nothing.
     """
     low = ascii_lower(name)
-    test = lambda op, p: F.contains(low, F.lit(p)) if op == "contains" else low.startswith(p)
+    tests: dict[str, dict[str, Column]] = {}
+    for kind, term, phrases in rules:
+        tests.setdefault(kind, {})[term] = F.coalesce(F.rlike(low, F.lit(phrases.replace("~", " ?"))), F.lit(False))
+    if group is not None:
+        for kind, term, part in GROUP_RULES:
+            if kind in tests:
+                tests[kind][term] = tests[kind].get(term, F.lit(False)) | F.coalesce(F.contains(ascii_lower(group), F.lit(part)), F.lit(False))
     cells = []
-    for kind in dict.fromkeys(r[0] for r in rules):
-        bits = F.lit(0)
-        for b in sorted({r[3] for r in rules if r[0] == kind}):
-            hit = None
-            for k, op, p, own in rules:
-                if (k, own) == (kind, b):
-                    hit = test(op, p) if hit is None else hit | test(op, p)
-            bits = bits + F.when(hit, b).otherwise(0)
+    for kind, own in tests.items():
+        bits = F.lit(0).cast("long")
+        for term, hit in own.items():
+            bits = bits + F.when(hit, F.lit(bit(term)).cast("long")).otherwise(F.lit(0).cast("long"))
         cells.append(F.struct(F.lit(kind).alias("kind"), bits.alias("terms")))
     return df.select("*", F.explode(F.filter(F.array(*cells), lambda c: c["terms"] > 0)).alias("_m")).select("*", "_m.*").drop("_m")
 
 
 def confidence(kind: Column, terms: Column, table: tuple = CONFIDENCES) -> Column:
     """The highest confidence of the bits in terms; lens correction needs both of its bits for the full one."""
-    per = [F.when((kind == k) & (terms.bitwiseAND(b) == b), c).otherwise(0) for k, b, c in table]
-    lens = F.when(kind == "lens_correction", F.when(terms == 3, 92).otherwise(68)).otherwise(0)
+    per = [F.when((kind == k) & (terms.bitwiseAND(F.lit(bit(t)).cast("long")) != 0), c).otherwise(0) for k, t, c in table]
+    both = bit("lens") | bit("correction")
+    lens = F.when(kind == "lens_correction", F.when(terms.bitwiseAND(F.lit(both)) == both, LENS_BOTH).when(terms.bitwiseAND(F.lit(both)) != 0, LENS_ONE).otherwise(0)).otherwise(0)
     return F.greatest(lens, *per)
 
 

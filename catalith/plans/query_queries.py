@@ -11,29 +11,60 @@ from catalith.session import table
 from catalith.sources import bridge as B
 
 LE = B.LINE_ENTRIES_SQL
-PART_RULES = (("size", "prefix", "smal", 1), ("size", "contains", "larg", 2), ("shape", "contains", "widget", 1), ("shape", "contains", "plat", 2), ("shape", "contains", "gadget", 4))
-_BITS = """SELECT p_partkey AS asset_id, kind, terms FROM (
-  SELECT p_partkey, 'size' AS kind, CASE WHEN starts_with(lower(p_name), 'smal') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name), 'larg') THEN 2 ELSE 0 END AS terms FROM part
-  UNION ALL SELECT p_partkey, 'shape', CASE WHEN contains(lower(p_name), 'widget') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name), 'plat') THEN 2 ELSE 0 END + CASE WHEN contains(lower(p_name), 'gadget') THEN 4 ELSE 0 END FROM part) WHERE terms > 0"""
-
-
-@query("term_bits", _BITS)
+#: Names of entries that the term queries run over: a realistic one for each part, before the part's own name.
+ENTRY_NAMES = (
+    "DefaultCropOrigin", "DefaultCropSize", "ActiveArea", "SensorBorder", "MaskedAreas", "Masked Area", "ImageWidth", "Optical Black", "Margin", "ExposureTime", "FNumber", "F Number", "ISOSpeed", "ExposureBiasValue", "GainControl",
+    "AEProgramMode", "WhiteBalance", "White Balance", "AsShotNeutral", "WB_RGGBLevels", "Camera_WB", "ColorTempKelvin", "ColorMatrix1", "CameraCalibration1", "ProfileName", "ToneCurve", "Film Simulation", "Colour Space", "Camera To XYZ",
+    "LensModel", "Lens Correction", "DistortionCorrection", "VignettingCorr", "OpcodeList3", "AFMicroAdj", "Peripheral", "Orientation", "BlackLevel", "White Clip", "LinearizationTable", "Raw Curve", "CFAPattern", "BayerOrder",
+    "RawDataOffset", "StripByteCounts", "Byte Order", "BitDepth", "PixelShift", "Smart HDR", "Ambience", "Panoramic", "ObjectName", "Headline", "Caption-Abstract", "By-line", "Keywords", "SubjectArea", "UserComment", "Artist", "",
+)
+_NAMES = "names AS (SELECT p_partkey AS asset_id, " + "[" + ", ".join(f"'{n}'" for n in ENTRY_NAMES) + f"][CAST(p_partkey % {len(ENTRY_NAMES)} AS INTEGER) + 1] || ' ' || p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN 'mk_PhaseOne0' ELSE 'ifd0' END AS ifd FROM part)"
+_TERMS = f"""{_NAMES}, r(kind, b, re) AS (VALUES ('crop', 0, 'crop'), ('crop', 1, 'border'), ('crop', 2, 'margin'), ('crop', 3, 'padding|maskedarea|masked area|opticalblack|optical black'), ('crop', 4, 'activearea|active area'),
+  ('crop', 5, 'origin'), ('crop', 6, 'offset'), ('crop', 7, 'size|width|height'), ('crop', 8, 'sensor'), ('crop', 9, 'image'),
+  ('exposure_gain', 10, 'exposure|aeprogram|ae program|shutter|aperture|fnumber|f-number|f number|brightness|iso'), ('exposure_gain', 11, 'bias|compensation'), ('exposure_gain', 12, 'gain'),
+  ('white_balance', 13, 'whitebalance|white balance|asshotneutral|asshotwhitexy|colortemp|color temperature|^wb|_wb| wb'),
+  ('color', 14, 'color|colour|illuminant|profile|tonecurve|tone curve|creative style|creativestyle|picture style|picturestyle|film simulation|filmsimulation|dynamic range optimizer|dynamicrangeoptimizer'),
+  ('color', 14, 'matrix|cameratoxyz|camera to xyz|cameratorgb|camera to rgb|ccm'), ('color', 15, 'matrix|cameratoxyz|camera to xyz|cameratorgb|camera to rgb|ccm'), ('color', 16, 'calibration'), ('color', 17, 'profile'),
+  ('lens_correction', 18, 'lens|distort|vignet|aberration|shading|peripheral|diffraction|opcode|radial correction|radialcorrection|optical correction|opticalcorrection|afmicroadj|af micro adj|microadjustment'),
+  ('lens_correction', 19, 'correction|corr|distort|vignet|aberration|shading|opcode|afmicroadj|af micro adj|microadjustment'), ('orientation', 20, 'orientation'),
+  ('raw_processing', 21, 'blacklevel|black level|opticalblack|optical black|blackmask|black mask'), ('raw_processing', 22, 'whitelevel|white level|whiteclip|white clip|saturationlevel|saturation level'),
+  ('raw_processing', 23, 'linearization|linearity|linearresponse|linear response|rawcurve|raw curve|klut'), ('raw_processing', 24, 'cfa|bayer'), ('raw_processing', 25, 'rawdata|raw data|rawfile|raw file|rawformat|raw format|rawimage|raw image|originalraw'),
+  ('raw_processing', 26, 'storage|strip|bytecount|byte count|fileoffset|file offset|dataoffset|data offset|datalength|data length|compresseddata|compressed data|byteorder|byte order'),
+  ('raw_processing', 8, 'sensor|validbits|valid bits|bitdepth|bit depth|rawdepth|raw depth|rawvaluerange|raw value range|rawvaluemedian|raw value median|maskedpixels|masked pixels'),
+  ('raw_processing', 27, 'pixelshift|pixel shift|multishot|multi shot|multiframe|multi frame|deepfusion|deep fusion|smart hdr|imagefusion|image fusion|creative style|creativestyle|picture style|picturestyle|film simulation|filmsimulation'),
+  ('raw_processing', 27, 'dynamic range optimizer|dynamicrangeoptimizer|active dlighting|activedlighting|raw develop|rawdevelop|ambience|thermal|radiometric|emissivity|planck|irwindow|ir window|real2ir|real to ir|stitch|panorama|panoramic'),
+  ('descriptive', 28, 'title|objectname|object name|headline'), ('descriptive', 29, 'description|caption|abstract|comment'), ('descriptive', 30, 'creator|author|byline|by-line'), ('descriptive', 31, 'keyword|subject')),
+  hit AS (SELECT asset_id, ifd, kind, b FROM names JOIN r ON regexp_matches(lower(name), re) UNION ALL SELECT asset_id, ifd, k, 8 FROM names, (VALUES ('crop'), ('raw_processing')) g(k) WHERE contains(lower(ifd), 'phaseone')),
+  m AS (SELECT asset_id, ifd, kind, CAST(bit_or(CAST(1 AS BIGINT) << b) AS BIGINT) AS terms, list(b) AS bs FROM hit GROUP BY asset_id, ifd, kind)"""
+
+
+def _named(spark, d):
+    n = F.element_at(F.array(*[F.lit(x) for x in ENTRY_NAMES]), (F.col("p_partkey") % len(ENTRY_NAMES) + 1).cast("int"))
+    ifd = F.when(F.col("p_partkey") % 9 == 0, "mk_PhaseOne0").otherwise("ifd0")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.concat(n, F.lit(" "), "p_name").alias("name"), ifd.alias("ifd"))
+
+
+@query("term_bits", f"WITH {_TERMS} SELECT asset_id, kind, terms FROM m")
 def term_bits(spark, d):
-    return semantic.match_terms(table(spark, d, "part"), "p_name", PART_RULES).select(F.col("p_partkey").alias("asset_id"), "kind", "terms")
+    return semantic.match_terms(_named(spark, d), "name", "ifd").select("asset_id", "kind", "terms")
 
 
-@query("term_confidence", f"SELECT *, CASE WHEN kind = 'size' THEN 90 WHEN terms & 2 = 2 THEN 88 WHEN terms & 1 = 1 THEN 70 ELSE 45 END AS confidence FROM ({_BITS})")
+@query("term_confidence", f"""WITH {_TERMS} SELECT asset_id, kind, CASE kind
+  WHEN 'crop' THEN CASE WHEN list_has_any(bs, [0]) THEN 90 WHEN list_has_any(bs, [4]) THEN 88 WHEN list_has_any(bs, [1, 2, 3]) THEN 70 WHEN list_has_any(bs, [8, 9]) THEN 45 ELSE 0 END
+  WHEN 'exposure_gain' THEN CASE WHEN list_has_any(bs, [10, 12]) THEN 90 ELSE 82 END WHEN 'color' THEN CASE WHEN list_has_any(bs, [15]) THEN 94 WHEN list_has_any(bs, [16, 17]) THEN 88 ELSE 70 END
+  WHEN 'lens_correction' THEN CASE WHEN list_has_all(bs, [18, 19]) THEN 92 ELSE 68 END WHEN 'orientation' THEN 95
+  WHEN 'raw_processing' THEN CASE WHEN list_has_any(bs, [21, 22, 23, 24]) THEN 92 WHEN list_has_any(bs, [25, 26]) THEN 86 WHEN list_has_any(bs, [27]) THEN 84 ELSE 78 END ELSE 90 END AS confidence FROM m""")
 def term_confidence(spark, d):
-    m = semantic.match_terms(table(spark, d, "part"), "p_name", PART_RULES).select(F.col("p_partkey").alias("asset_id"), "kind", "terms")
-    conf = (("size", 1, 90), ("size", 2, 90), ("shape", 2, 88), ("shape", 1, 70), ("shape", 4, 45))
-    return m.withColumn("confidence", semantic.confidence(F.col("kind"), F.col("terms"), conf))
+    m = semantic.match_terms(_named(spark, d), "name", "ifd")
+    return m.select("asset_id", "kind", semantic.confidence(F.col("kind"), F.col("terms")).alias("confidence"))
 
 
 @query("default_terms", """SELECT kind, terms, count(*) AS n FROM (
-  SELECT 'descriptive' AS kind, 1 AS terms FROM pages WHERE contains(lower(html), 'title') AND NOT contains(lower(html), 'description') AND NOT contains(lower(html), 'caption') AND NOT contains(lower(html), 'creator')
-  AND NOT contains(lower(html), 'author') AND NOT contains(lower(html), 'keyword')) GROUP BY ALL""")
+  SELECT 'descriptive' AS kind, CAST(268435456 AS BIGINT) AS terms FROM pages WHERE regexp_matches(lower(html), 'title|object ?name|headline') AND NOT regexp_matches(lower(html), 'description|caption|abstract|comment|creator|author|byline|by-line|keyword|subject'))
+  GROUP BY ALL""")
 def default_terms(spark, d):
-    return semantic.match_terms(table(spark, d, "pages"), "html").where("kind = 'descriptive' and terms = 1").groupBy("kind", "terms").agg(F.count("*").alias("n"))
+    title = semantic.bit("title")
+    return semantic.match_terms(table(spark, d, "pages"), "html").where(f"kind = 'descriptive' and terms = {title}").groupBy("kind", "terms").agg(F.count("*").alias("n"))
 
 
 _SERIES = f"""WITH {LE}, f AS (SELECT asset_id, block_id, ifd, tag, min(entry_id) AS id FROM le WHERE flags & 1 = 0 AND tag IN (2, 4, 6) GROUP BY ALL)
