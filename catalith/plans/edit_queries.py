@@ -28,6 +28,45 @@ def validate_rules(spark, d):
     return _issues(spark, d)
 
 
+_TE = B.TYPED_ENTRIES_SQL
+
+
+@query("validate_standard", f"""WITH {_TE}, k AS (SELECT *, CASE key_kind WHEN 'exif_tag' THEN ifd = '' WHEN 'xmp_property' THEN ns = '' WHEN 'png_text' THEN ns = '' ELSE false END AS bad,
+    CASE value_kind WHEN 'scalar' THEN n <> 1 WHEN 'empty' THEN n <> 0 ELSE n <> held END AS shape FROM te), a AS (SELECT * FROM k WHERE NOT bad AND NOT gone), c AS (SELECT * FROM a WHERE NOT shape AND value_kind = 'scalar')
+  SELECT asset_id, entry_id, 'invalid_key' AS code, 'error' AS severity FROM k WHERE bad
+  UNION ALL SELECT asset_id, entry_id, 'invalid_key', 'error' FROM a WHERE key_kind = 'iptc_dataset' AND (record > 255 OR dataset > 255)
+  UNION ALL SELECT asset_id, entry_id, 'invalid_value_shape', 'error' FROM a WHERE shape
+  UNION ALL SELECT asset_id, entry_id, 'scalar_out_of_range', 'error' FROM c WHERE (elem_type = 'u8' AND (v < 0 OR v > 255)) OR (elem_type = 'i8' AND (v < -128 OR v > 127)) OR (elem_type = 'u16' AND v < 0)
+  UNION ALL SELECT asset_id, entry_id, 'rational_denominator_zero', 'error' FROM c WHERE elem_type IN ('urational', 'srational') AND den = 0
+    AND NOT (key_kind = 'xmp_property' AND elem_type = 'urational' AND num = 0 AND path IN ('LensSpecification[3]', 'LensSpecification[4]'))""")
+def validate_standard(spark, d):
+    return validation.standard_issues(B.typed_entries(spark, d))
+
+
+#: A small tag schema: directory, tag, types, least and most count (0: no end).
+TAG_SCHEMA = (("ifd0", 256, ["u16", "u32"], 1, 1), ("ifd0", 257, ["u16", "u32"], 1, 1), ("ifd0", 258, ["u16"], 2, 0), ("exififd", 259, ["urational"], 1, 1), ("exififd", 260, ["i8", "u8"], 1, 1), ("ifd0", 260, ["u16"], 0, 1))
+
+
+@query("validate_schema", f"""WITH {_TE}, s(ifd, tag, types, lo, hi) AS (VALUES ('ifd0', 256, ['u16', 'u32'], 1, 1), ('ifd0', 257, ['u16', 'u32'], 1, 1), ('ifd0', 258, ['u16'], 2, 0), ('exififd', 259, ['urational'], 1, 1), ('exififd', 260, ['i8', 'u8'], 1, 1), ('ifd0', 260, ['u16'], 0, 1)),
+  e AS (SELECT * FROM te WHERE key_kind = 'exif_tag' AND NOT gone)
+  SELECT asset_id, entry_id, 'unknown_exif_tag' AS code, 'warning' AS severity FROM e WHERE tag NOT IN (SELECT tag FROM s)
+  UNION ALL SELECT asset_id, entry_id, 'wrong_ifd', 'error' FROM e WHERE tag IN (SELECT tag FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.tag = e.tag AND s.ifd = e.ifd)
+  UNION ALL SELECT asset_id, entry_id, 'wrong_type', 'error' FROM e JOIN s USING (ifd, tag) WHERE NOT list_contains(types, elem_type)
+  UNION ALL SELECT asset_id, entry_id, 'wrong_count', 'error' FROM e JOIN s USING (ifd, tag) WHERE n < lo OR (hi <> 0 AND n > hi)""")
+def validate_schema(spark, d):
+    schema = spark.createDataFrame(list(TAG_SCHEMA), "ifd string, tag int, types array<string>, min_count int, max_count int")
+    return validation.schema_issues(store.find_all(B.typed_entries(spark, d), key_kind="exif_tag"), schema)
+
+
+@query("validate_image_context", f"""WITH {LE}, f AS (SELECT asset_id, tag, min(entry_id) AS entry_id, arg_min(v_double, entry_id) AS v FROM le WHERE flags & 1 = 0 AND tag IN (1, 3) GROUP BY ALL)
+  SELECT f.asset_id, f.entry_id, f.tag FROM f JOIN orders o ON o.o_orderkey = f.asset_id WHERE (f.tag = 1 AND f.v <> o.o_custkey % 50 + 1) OR (f.tag = 3 AND f.v <> 0.05)""")
+def validate_image_context(spark, d):
+    o = table(spark, d, "orders")
+    want = F.array(F.struct(F.lit(1).alias("tag"), (F.col("o_custkey") % 50 + 1).cast("double").alias("expected")), F.struct(F.lit(3).alias("tag"), F.lit(0.05).alias("expected")))
+    context = o.select(F.col("o_orderkey").alias("asset_id"), F.explode(want).alias("w")).select("asset_id", "w.*")
+    return validation.image_context_issues(B.line_entries(spark, d).where(F.col("tag").isin(1, 3)), context)
+
+
 @query("validation_summary", f"""WITH {_RULES} SELECT asset_id, CAST(count_if(severity = 'error') AS BIGINT) AS n_errors, CAST(count_if(severity = 'warning') AS BIGINT) AS n_warnings, least(count(*), 3) AS n_reported,
   CASE WHEN count_if(severity = 'error') > 0 THEN 'invalid' ELSE 'valid_with_warnings' END AS status FROM i GROUP BY asset_id""")
 def validation_summary(spark, d):

@@ -35,6 +35,24 @@ def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry for each order line with keys and values of several kinds, some of them broken: a table for validation."""
+    e = lambda text: F.expr(text)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("asset_id"), F.col("l_linenumber").cast("long").alias("entry_id"),
+        e("element_at(array('exif_tag', 'xmp_property', 'iptc_dataset', 'png_text'), cast(l_partkey % 4 as int) + 1)").alias("key_kind"),
+        e("if(l_suppkey % 5 = 0, '', if(l_suppkey % 2 = 0, 'ifd0', 'exififd'))").alias("ifd"), e("cast(256 + l_partkey % 7 as int)").alias("tag"),
+        e("if(l_suppkey % 7 = 0, '', 'http://ns.adobe.com/exif/1.0/')").alias("ns"), e("concat('LensSpecification[', l_suppkey % 5, ']')").alias("path"), e("l_returnflag").alias("name"),
+        e("cast(250 + l_orderkey % 10 as int)").alias("record"), e("cast(l_suppkey % 300 as int)").alias("dataset"),
+        e("element_at(array('scalar', 'text', 'empty', 'scalar', 'scalar'), cast(l_orderkey % 5 as int) + 1)").alias("value_kind"),
+        e("element_at(array('u8', 'i8', 'urational', 'u16', 'srational', 'i16'), cast(l_suppkey % 6 as int) + 1)").alias("elem_type"),
+        e("cast(case l_orderkey % 5 when 1 then if(l_linenumber = 3, 3, 2) when 2 then if(l_linenumber = 4, 1, 0) else if(l_linenumber = 5, 2, 1) end as bigint)").alias("count"),
+        e("l_quantity * 10 - 60").alias("v_double"), e("named_struct('num', cast(l_partkey % 3 as bigint), 'den', cast(l_orderkey % 2 as bigint))").alias("v_ratio"),
+        e("cast(null as array<double>)").alias("v_nums"), e("concat(l_returnflag, l_linestatus)").alias("v_text"), e("cast(null as binary)").alias("v_bytes"),
+        e("cast(if(l_partkey % 17 = 0, 1, 0) as int)").alias("flags"),
+    )
+
+
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date candidates of an order: its own date (block 0, priority 100) and its lines' ship dates (priority 90)."""
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.lit(0).cast("long").alias("idx"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("v_text"), F.lit(100).alias("priority"))
@@ -83,6 +101,12 @@ LINE_ENTRIES_SQL = LINE_BLOCKS_SQL + ", le AS (" + " UNION ALL ".join(
     f"{c if i >= 4 else 'CAST(NULL AS VARCHAR)'} AS v_text, {'CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END' if i == 3 else '0'} AS flags FROM lb"
     for i, c in enumerate(MEASURES)
 ) + ")"
+TYPED_ENTRIES_SQL = """te AS (SELECT l_orderkey AS asset_id, CAST(l_linenumber AS BIGINT) AS entry_id, ['exif_tag', 'xmp_property', 'iptc_dataset', 'png_text'][CAST(l_partkey % 4 AS INTEGER) + 1] AS key_kind,
+  CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_suppkey % 2 = 0 THEN 'ifd0' ELSE 'exififd' END AS ifd, 256 + l_partkey % 7 AS tag, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'http://ns.adobe.com/exif/1.0/' END AS ns,
+  'LensSpecification[' || (l_suppkey % 5) || ']' AS path, 250 + l_orderkey % 10 AS record, l_suppkey % 300 AS dataset, ['scalar', 'text', 'empty', 'scalar', 'scalar'][CAST(l_orderkey % 5 AS INTEGER) + 1] AS value_kind,
+  ['u8', 'i8', 'urational', 'u16', 'srational', 'i16'][CAST(l_suppkey % 6 AS INTEGER) + 1] AS elem_type,
+  CASE l_orderkey % 5 WHEN 1 THEN CASE WHEN l_linenumber = 3 THEN 3 ELSE 2 END WHEN 2 THEN CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END ELSE CASE WHEN l_linenumber = 5 THEN 2 ELSE 1 END END AS n,
+  l_quantity * 10 - 60 AS v, l_partkey % 3 AS num, l_orderkey % 2 AS den, strlen(l_returnflag || l_linestatus) AS held, l_partkey % 17 = 0 AS gone FROM lineitem)"""
 ORDER_DATES_SQL = LINE_BLOCKS_SQL + """, od AS (
   SELECT o_orderkey AS asset_id, 0 AS idx, strftime(o_orderdate, '%Y-%m-%d') AS v_text, 100 AS priority FROM orders
   UNION ALL SELECT l_orderkey, block_id + 1, strftime(l_shipdate, '%Y-%m-%d'), 90 FROM lb)"""

@@ -174,3 +174,22 @@ def test_binaries_are_read_and_sniffed(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n")
     got = {r.path.rsplit("/", 1)[1]: r.format for r in decoders.read_binaries(spark, str(tmp_path)).collect()}
     assert got == {"a.tif": "tiff", "b.png": "png"}
+
+
+def test_standard_validation(spark):
+    schema = "asset_id long, entry_id long, key_kind string, ifd string, ns string, path string, name string, record int, dataset int, value_kind string, elem_type string, count long, v_double double, v_ratio struct<num:long,den:long>, v_nums array<double>, v_text string, v_bytes binary, flags int"
+    xmp = ("xmp_property", None, "http://ns.adobe.com/exif/1.0/", "LensSpecification[3]", None, None, None)
+    exif = ("exif_tag", "ifd0", None, None, None, None, None)
+    data = [
+        (*exif, "scalar", "u8", 1, 256.0, None, None, None, None, 0), (*exif, "scalar", "u8", 1, 256.0, None, None, None, None, 1), ("exif_tag", None, *exif[2:], "scalar", "u8", 1, 300.0, None, None, None, None, 1),
+        (*xmp, "scalar", "urational", 1, None, (0, 0), None, None, None, 0), (*xmp, "scalar", "srational", 1, None, (0, 0), None, None, None, 0), (*xmp, "scalar", "urational", 1, None, (1, 0), None, None, None, 0),
+        (*exif, "text", None, 3, None, None, None, "ab", None, 0), (*exif, "text", None, 9, None, None, None, "x" * 9, None, 0), (*exif, "empty", None, None, None, None, None, None, None, 0), (*exif, None, None, None, None, None, None, None, None, 0),
+        ("iptc_dataset", None, None, None, None, 2, 256, "scalar", "i8", 1, -128.0, None, None, None, None, 0), ("exif_tag", "i" * 20, *exif[2:], "empty", None, 0, None, None, None, None, None, 0),
+    ]
+    e = spark.createDataFrame([(1, i, *r) for i, r in enumerate(data)], schema)
+    got = sorted((r.entry_id, r.code) for r in validation.standard_issues(e, max_key_bytes=16, max_value_bytes=8).collect())
+    # key columns shorter than the namespace of the aperture rows need a larger bound
+    wide = sorted((r.entry_id, r.code) for r in validation.standard_issues(e, max_value_bytes=8).collect())
+    assert wide == [(0, "scalar_out_of_range"), (2, "invalid_key"), (4, "rational_denominator_zero"), (5, "rational_denominator_zero"), (6, "invalid_value_shape"), (7, "value_limit_exceeded"), (9, "invalid_value_shape"), (10, "invalid_key")]
+    assert {i for i, c in got if c == "invalid_key"} == {2, 3, 4, 5, 10, 11}
+    assert validation.standard_issues(e.where("false")).count() == 0
