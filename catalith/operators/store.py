@@ -65,6 +65,24 @@ def companion(base: DataFrame, entries: DataFrame, tag: int, name: str) -> DataF
     return base.join(own, ["asset_id", "block_id", "ifd"], "left")
 
 
+def companions(base: DataFrame, entries: DataFrame, tags: dict[str, int], inherit: DataFrame | None = None) -> DataFrame:
+    """base with a struct (id, text) for each name in tags: the first live entry of that tag beside the base entry.
+
+    Beside means the same asset, block and directory. With inherit (block_id, ifd; an empty directory is any), an entry in
+    one of these of the same asset serves where none is beside. Null without one. All tags are gathered in one
+    aggregation a level, whatever their number.
+    """
+    own = live(entries).where(F.col("tag").isin(*tags.values()) & F.col("v_text").isNotNull())
+    first = lambda t: F.min(F.when(F.col("tag") == t, F.struct(F.col("entry_id").alias("id"), F.col("v_text").alias("text"))))
+    beside = own.groupBy("asset_id", "block_id", "ifd").agg(*[first(t).alias(n) for n, t in tags.items()])
+    out = base.join(beside, ["asset_id", "block_id", "ifd"], "left")
+    if inherit is None:
+        return out
+    other = in_scope(own, inherit).groupBy("asset_id").agg(*[first(t).alias(f"_other_{n}") for n, t in tags.items()])
+    out = out.join(other, "asset_id", "left")
+    return out.select(*base.columns, *[F.coalesce(n, f"_other_{n}").alias(n) for n in tags])
+
+
 def commit(base: DataFrame, edits: DataFrame, max_entries: int | None = None) -> DataFrame:
     """Apply edits (asset_id, seq, op in add/set/tombstone, target_id, v_double) to base (asset_id, entry_id, v_double, flags).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalith.functions import dates
-from catalith.operators import concepts
+from catalith.operators import concepts, store
 from catalith.plans.registry import query
 from catalith.session import table
 from catalith.sources import bridge as B
@@ -21,6 +21,28 @@ def datetime_normalize(spark, d):
     return p.select("asset_id", F.date_format("p.day", "yyyy-MM-dd").alias("day"), "p.second", "p.precision", dates.utc_second(F.col("p"), dates.offset_minutes(F.col("t"))).alias("utc_second"))
 
 
+_DATED = """SELECT o_orderkey AS asset_id, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) // 86400 * 86400 + 45296 - {offset} AS utc_second,
+  CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 THEN '111' END AS subsecond, {source} AS offset_id FROM orders"""
+
+
+def _dated(spark, d, inherit=None):
+    e = B.date_entries(spark, d)
+    base = store.find_all(e, tag=B.DATE_TAG).select("asset_id", "block_id", "ifd", "entry_id", "v_text")
+    c = store.companions(base, e, {"offset": B.OFFSET_TAG, "sub": B.SUBSECOND_TAG}, inherit)
+    utc = dates.utc_second(dates.parsed_datetime(F.col("v_text")), dates.offset_minutes(F.col("offset.text")))
+    return c.select("asset_id", utc.alias("utc_second"), F.col("sub.text").alias("subsecond"), F.col("offset.id").alias("offset_id"))
+
+
+@query("date_companions", _DATED.format(offset="CASE WHEN o_orderkey % 3 = 0 THEN 7200 ELSE 0 END", source="CASE WHEN o_orderkey % 3 = 0 THEN 1 END"))
+def date_companions(spark, d):
+    return _dated(spark, d)
+
+
+@query("date_companions_inherited", _DATED.format(offset="CASE o_orderkey % 3 WHEN 0 THEN 7200 WHEN 1 THEN -12600 ELSE 0 END", source="CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 END"))
+def date_companions_inherited(spark, d):
+    return _dated(spark, d, spark.createDataFrame([(1, "")], "block_id long, ifd string"))
+
+
 @query("datetime_conflict", f"""WITH {OD} SELECT asset_id, count(*) AS n, count(DISTINCT substr(v_text, 1, 4)) AS n_years, min(substr(v_text, 1, 4)) <> max(substr(v_text, 1, 4)) AS conflict FROM od GROUP BY asset_id""")
 def datetime_conflict(spark, d):
     c = B.order_dates(spark, d).withColumn("value", F.substring("v_text", 1, 4))

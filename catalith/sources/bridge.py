@@ -53,6 +53,23 @@ def typed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tags of a date with its offset and its part of a second.
+DATE_TAG, OFFSET_TAG, SUBSECOND_TAG = 0x9003, 0x9011, 0x9291
+
+
+def date_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders in block 0; offsets there, in block 1 or nowhere; parts of a second, some of them deleted."""
+    cell = lambda i, block, tag, text, when: F.when(when, F.struct(
+        F.lit(i).cast("long").alias("entry_id"), F.lit(block).cast("long").alias("block_id"), F.lit("exififd").alias("ifd"), F.lit(tag).alias("tag"), text.alias("v_text"),
+        F.when((F.col("o_orderkey") % 7 == 0) & (F.lit(tag) == SUBSECOND_TAG), 1).otherwise(0).alias("flags")))
+    k = F.col("o_orderkey")
+    cells = F.array(
+        cell(0, 0, DATE_TAG, F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" 12:34:56")), F.lit(True)), cell(1, 0, OFFSET_TAG, F.lit("+02:00"), k % 3 == 0),
+        cell(2, 0, OFFSET_TAG, F.lit("+09:00"), k % 3 == 0), cell(3, 1, OFFSET_TAG, F.lit("-03:30"), k % 3 != 2), cell(4, 0, SUBSECOND_TAG, F.lit("111"), k % 2 == 0),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("asset_id"), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("e")).select("asset_id", "e.*")
+
+
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date candidates of an order: its own date (block 0, priority 100) and its lines' ship dates (priority 90)."""
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.lit(0).cast("long").alias("idx"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("v_text"), F.lit(100).alias("priority"))

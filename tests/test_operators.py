@@ -193,3 +193,14 @@ def test_standard_validation(spark):
     assert wide == [(0, "scalar_out_of_range"), (2, "invalid_key"), (4, "rational_denominator_zero"), (5, "rational_denominator_zero"), (6, "invalid_value_shape"), (7, "value_limit_exceeded"), (9, "invalid_value_shape"), (10, "invalid_key")]
     assert {i for i, c in got if c == "invalid_key"} == {2, 3, 4, 5, 10, 11}
     assert validation.standard_issues(e.where("false")).count() == 0
+
+
+def test_companions_stay_local_unless_inherited(spark):
+    e = spark.createDataFrame([
+        (1, 0, "exififd", 0, 1, "a", 0), (1, 0, "exififd", 1, 2, None, 0), (1, 0, "exififd", 2, 2, "x", 1), (1, 1, "exififd", 3, 2, "y", 0), (1, 0, "ifd0", 4, 2, "z", 0), (2, 1, "exififd", 0, 1, "b", 0), (2, 1, "exififd", 1, 2, "w", 0),
+    ], "asset_id long, block_id long, ifd string, entry_id long, tag int, v_text string, flags int")
+    base = store.find_all(e, tag=1).select("asset_id", "block_id", "ifd", "entry_id")
+    found = lambda inherit: {r.asset_id: r.c and tuple(r.c) for r in store.companions(base, e, {"c": 2}, inherit).collect()}
+    assert found(None) == {1: None, 2: (1, "w")}
+    assert found(spark.createDataFrame([(0, "ifd0")], "block_id long, ifd string")) == {1: (4, "z"), 2: (1, "w")}
+    assert found(spark.createDataFrame([(1, "")], "block_id long, ifd string")) == {1: (3, "y"), 2: (1, "w")}
