@@ -22,7 +22,7 @@ def datetime_normalize(spark, d):
 
 
 _DATED = """SELECT o_orderkey AS asset_id, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) // 86400 * 86400 + 45296 - {offset} AS utc_second,
-  CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 THEN '111' END AS subsecond, {source} AS offset_id FROM orders"""
+  CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 THEN '111' END AS subsecond, CAST({source} AS BIGINT) AS offset_id FROM orders"""
 
 
 def _dated(spark, d, inherit=None):
