@@ -44,7 +44,8 @@ def block_spans(entries: DataFrame) -> DataFrame:
 
 
 def find_all(entries: DataFrame, **key: object) -> DataFrame:
-    """Live entries with exactly this key; the predicates reach the scan."""
+    """Live entries with exactly this key. Over a stored entry table the predicates reach the scan; over entries made
+    from other columns (see sources.bridge) they are applied once these are made."""
     out = live(entries)
     for k, v in key.items():
         out = out.where(F.col(k) == F.lit(v))
